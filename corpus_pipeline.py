@@ -1,2 +1,59 @@
-STAGES = []
-def run(spark, sf_dir): ...
+"""From documents to training sequences: five stages, each by one operator of parchmint.llm.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return
+the columns of documents. Null texts count as empty, and rows that repeat a doc_id are judged alike; the operators'
+docstrings say what else holds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parchmint.llm import classifier, lines, minhash, mixing, packing
+from parchmint.llm.common import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that the byte network predicts to be of low quality go."""
+    model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(classifier.score_column(model)(docs["text"]) >= 0.5)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: passages of several lines that also occur earlier go; n_chars follows the text."""
+    return lines.without_repeats(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each group of near duplicates (five words, 0.8) the document with the smallest doc_id stays."""
+    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: every document as often as its source's rate and its own coin say."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: pieces of at most 4096 tokens with their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", repeated_lines),
+    ("minhash_near_dedup", near_copies),
+    ("source_mix", source_mix),
+    ("best_fit_packing", packed),
+]
+
+#: SQL can express neither the network nor the tokenizer; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

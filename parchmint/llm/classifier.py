@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), documents:
     The sample: of each class the `documents` ids with the smallest hash. Texts are cut into chunks in the tasks, so the
     driver gets at most 2 x documents x chunks x chunk bytes, and no long text.
     """
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).collect()]
     if len({r["quality"] for r in chosen}) < 2:
         return float(chosen[0]["quality"]) if chosen else 0.5
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), documents:
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], ["doc_id", "quality", "chunks", "sizes"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").mapInArrow(sample, "doc_id long, quality int, chunks binary, sizes array<long>").toPandas()
+    got = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").mapInArrow(sample, "doc_id long, quality int, chunks binary, sizes array<long>").toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     if got.quality.nunique() < 2:
         return float(got.quality.iloc[0]) if len(got) else 0.5
@@ -151,22 +152,25 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), documents:
     return Net(shape).fit(data, got.quality.to_numpy())
 
 
-def scored(docs: DataFrame, model: Net | float) -> DataFrame:
-    """doc_id, held_out, score, predicted of `docs` (doc_id, text; more columns are ignored), each by the whole text. Null texts count as empty; an empty text has one chunk of padding and so a score; null ids are not held out."""
+def score_column(model: Net | float):
+    """A function from a text column to scores. Each text is read whole; null counts as empty, and an empty text has one chunk of padding and so a score."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [model if isinstance(model, float) else model.score(_bytes(x.as_py())) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series([model if isinstance(model, float) else model.score(_bytes(x)) for x in text], dtype="float64")
+
+    return score
 
-    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def scored(docs: DataFrame, model: Net | float) -> DataFrame:
+    """doc_id, held_out, score, predicted of `docs` (doc_id, text; more columns are ignored). Null ids are not held out."""
+    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), score_column(model)(docs["text"].cast("string")).alias("score"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled documents that aren't held out, score all. An empty table gives no rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scored(docs, train(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")))
+    return scored(docs, train(docs, labels))
 
 
 def op4_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:

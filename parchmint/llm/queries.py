@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import classifier, embeddings, lines, minhash, mixing, packing, rules, sharding, warc
+from . import classifier, embeddings, lines, minhash, mixing, packing, rules, sharding, suffixes, warc
 
 
 def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_quality_rules": rules.op2_quality_rules,
         "op3_lookup_shards": sharding.op3_lookup_shards,
         "op4_byte_network": classifier.op4_byte_network,
