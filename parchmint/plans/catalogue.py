@@ -1,2 +1,457 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries over the driver's tables, one for each operator, each beside SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import detect as D
+from ..functions import text as T
+from ..operators import layout as L
+from ..operators import validate as V
+from ..sources import text_like as S
+from ..sources import web
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: The explicit white space class, as RE2 writes it.
+_WS = T.SPACE
+
+
+def _collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
+
+
+def _key(x: str) -> str:
+    return f"substr(regexp_replace({x}, '[0-9]+', '#', 'g'), 1, 80)"
+
+
+_LINES = "SELECT doc_id, source, lang, n AS line_no, parts[n] AS text FROM (SELECT doc_id, source, lang, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT doc_id, source, lang, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS parts FROM documents))"
+
+# ---------------------------------------------------------------- pages
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
+def page_title(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.trim(web.title(F.col("html"))).alias("title"))
+
+
+@query("SELECT page_id, CAST(length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) AS BIGINT) AS main_length FROM pages")
+def page_main_content_len(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.length(web.article(F.col("html"))).cast("long").alias("main_length"))
+
+
+_LINKS = """SELECT page_id, CAST(n - 1 AS INTEGER) AS pos, hrefs[n] AS href,
+  CASE WHEN hrefs[n] LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || hrefs[n] ELSE hrefs[n] END AS target
+FROM (SELECT page_id, url, hrefs, unnest(range(1, len(hrefs) + 1)) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))"""
+
+
+@query(_LINKS)
+def page_nav_links_absolute(spark, sf_dir):
+    return web.links(_t(spark, sf_dir, "pages"))
+
+
+@query(f"SELECT regexp_extract(target, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({_LINKS}) GROUP BY 1")
+def page_link_counts_by_host(spark, sf_dir):
+    host = F.regexp_extract("target", "^[a-z]+://([^/?#]+)", 1)
+    return web.links(_t(spark, sf_dir, "pages")).groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("links"), F.count_distinct("page_id").alias("pages"))
+
+
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"
+
+
+@query(f"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, CAST(strlen(html) AS BIGINT) AS source_bytes, CAST(length(x) AS BIGINT) AS characters, CAST(floor(length(x) / 4.0 + 0.5) AS BIGINT) AS estimated_tokens FROM (SELECT *, {_PLAIN} AS x FROM pages)""")
+def page_token_stats(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").withColumn("x", web.plain(F.col("html")))
+    return p.select("page_id", F.trim(web.title(F.col("html"))).alias("title"), F.octet_length("html").cast("long").alias("source_bytes"), F.length("x").cast("long").alias("characters"), T.tokens_estimate(F.length("x")).alias("estimated_tokens"))
+
+
+@query()
+def page_blocks(spark, sf_dir):
+    return web.blocks(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def page_plain_text(spark, sf_dir):
+    b = web.blocks(_t(spark, sf_dir, "pages")).where("type <> 'divider'")
+    line = F.when(F.col("type") == "item", F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", line.alias("line"))))
+    return b.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("text"))
+
+
+# ---------------------------------------------------------------- documents
+
+
+@query(f"SELECT doc_id, line_no, text FROM ({_LINES})")
+def doc_lines(spark, sf_dir):
+    return S.lines(_t(spark, sf_dir, "documents"))
+
+
+@query(r"""SELECT lang, count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS source_bytes, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+'))) AS BIGINT) AS words, CAST(sum(floor(length(text) / 4.0 + 0.5)) AS BIGINT) AS estimated_tokens FROM documents GROUP BY lang""")
+def doc_stats_by_lang(spark, sf_dir):
+    words = F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+"))
+    return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("text")).alias("source_bytes"), F.sum(F.length("text")).alias("characters"), F.sum(words).cast("long").alias("words"), F.sum(T.tokens_estimate(F.length("text"))).alias("estimated_tokens"))
+
+
+_CHROME = f"""SELECT source, {_key('text')} AS key, count(*) AS n FROM ({_LINES}) WHERE length({_key('text')}) >= 2 GROUP BY 1, 2 HAVING count(*) >= greatest(2, ceil(50 * 0.06))"""
+
+
+def _source_lines(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    parts = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    return docs.select("doc_id", "source", F.posexplode(parts).alias("n", "text")).select("doc_id", "source", (F.col("n") + 1).cast("long").alias("line_no"), "text")
+
+
+@query(_CHROME)
+def doc_chrome_keys(spark, sf_dir):
+    return L.repeated_lines(_source_lines(spark, sf_dir), "source", F.lit(50), 0.06)
+
+
+@query(f"WITH k AS ({_CHROME}) SELECT doc_id, line_no, text FROM ({_LINES}) l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = l.source AND k.key = {_key('l.text')})")
+def doc_without_chrome(spark, sf_dir):
+    lines = _source_lines(spark, sf_dir)
+    keys = L.repeated_lines(lines, "source", F.lit(50), 0.06)
+    return lines.withColumn("key", T.chrome_key(F.col("text"))).join(keys, ["source", "key"], "left_anti").select("doc_id", "line_no", "text")
+
+
+@query(f"""WITH w AS (SELECT doc_id, string_split({_collapse("regexp_replace(text, '[0-9]+', '#', 'g')")}, ' ') AS ws FROM ({_LINES})),
+p AS (SELECT doc_id, CASE WHEN len(ws) > 3 AND length(array_to_string(ws[1:3], ' ')) >= 10 THEN array_to_string(ws[1:3], ' ') ELSE '' END AS prefix FROM w)
+SELECT prefix, count(*) AS n, count(DISTINCT doc_id) AS documents FROM p WHERE prefix <> '' GROUP BY prefix HAVING count(*) >= 3""")
+def doc_prefix_groups(spark, sf_dir):
+    p = S.lines(_t(spark, sf_dir, "documents")).withColumn("prefix", T.prefix_key(F.col("text"))).where("prefix <> ''")
+    return p.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents")).where("n >= 3")
+
+
+@query(f"""SELECT doc_id, line_no, CAST(len(cells) AS BIGINT) AS width, len(list_filter(cells, lambda c: c = '' OR regexp_matches(c, '^-?[0-9.,]+$'))) = 0 AS header
+FROM (SELECT doc_id, line_no, list_transform(string_split(text, ' | '), lambda c: trim(c)) AS cells FROM ({_LINES})) WHERE len(cells) >= 3""")
+def doc_pipe_tables(spark, sf_dir):
+    return S.delimited(S.lines(_t(spark, sf_dir, "documents")), " | ").select("doc_id", "line_no", "width", "header")
+
+
+@query("SELECT doc_id, array_to_string(list_transform(ls, lambda l: regexp_replace(l, '-$', '')), '') AS joined, CAST(len(ls) AS BIGINT) AS lines FROM (VALUES (1, ['excite-', 'ment']), (2, ['plain', ' words']), (3, ['a-', 'b-', 'c'])) v(doc_id, ls)")
+def doc_hyphen_join(spark, sf_dir):
+    rows = spark.createDataFrame([(1, ["excite-", "ment"]), (2, ["plain", " words"]), (3, ["a-", "b-", "c"])], "doc_id int, ls array<string>")
+    joined = F.aggregate("ls", F.lit(""), lambda a, x: F.when(a.endswith("-") & x.rlike("^[a-z]"), F.concat(F.regexp_replace(a, "-$", ""), x)).otherwise(F.concat(a, x)))
+    return rows.select("doc_id", joined.alias("joined"), F.size("ls").cast("long").alias("lines"))
+
+
+# ---------------------------------------------------------------- emitters
+
+
+_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(f"SELECT n_nationkey, '| ' || n_nationkey || ' | ' || replace({_ESC.format('n_name')}, '|', '\\|') || ' | ' || r_name || ' |' AS line FROM nation JOIN region ON n_regionkey = r_regionkey")
+def md_table_rows(spark, sf_dir):
+    j = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region has a row for each of five regions
+    return j.select("n_nationkey", F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), F.replace(T.escape_html(F.col("n_name")), F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("r_name"), F.lit(" |")).alias("line"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name || ': ' || p_brand, '^[0-9A-Za-z_][0-9A-Za-z_ .,:/@+-]*$') AND NOT contains(p_name || ': ' || p_brand, ': ') THEN p_name || ': ' || p_brand ELSE '"' || replace(replace(p_name || ': ' || p_brand, '\\', '\\\\'), '"', '\\"') || '"' END AS pair,
+CASE WHEN regexp_matches(p_name, '^[0-9A-Za-z_][0-9A-Za-z_ .,:/@+-]*$') THEN p_name ELSE '"' || p_name || '"' END AS name FROM part""")
+def yaml_scalars(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", T.yaml_scalar(F.concat("p_name", F.lit(": "), "p_brand")).alias("pair"), T.yaml_scalar(F.col("p_name")).alias("name"))
+
+
+@query("""SELECT n_nationkey, c(n_name || ', "' || n_regionkey || '"') AS cell, n_name AS plain FROM nation""".replace("c(n_name || ', \"' || n_regionkey || '\"')", """'"' || replace(n_name || ', "' || n_regionkey || '"', '"', '""') || '"'"""))
+def doc_csv_block(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").select("n_nationkey", T.csv_cell(F.concat("n_name", F.lit(', "'), F.col("n_regionkey").cast("string"), F.lit('"'))).alias("cell"), T.csv_cell(F.col("n_name")).alias("plain"))
+
+
+# ---------------------------------------------------------------- validators
+
+
+@query("""SELECT o_orderkey, round(s, 2) AS line_sum, o_totalprice, abs(s - o_totalprice) > 0.01 AS mismatch FROM orders JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def total_mismatch(spark, sf_dir):
+    s = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("s"))
+    return _t(spark, sf_dir, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.round("s", 2).alias("line_sum"), "o_totalprice", (F.abs(F.col("s") - F.col("o_totalprice")) > 0.01).alias("mismatch"))
+
+
+_ORDER_CELLS = """SELECT o_orderkey AS doc_id, 0 AS table_id, 0 AS row, 0 AS col, 'Total' AS text FROM orders"""
+
+
+def _order_cells(spark, sf_dir):
+    """A table for each order: a row for each line (label, amount) and a total row that leaves the last line out of odd orders."""
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row"), F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
+    lines = li.groupBy("doc_id", "row").agg(F.sum("v").alias("v"))
+    counted = F.when((F.col("doc_id") % 2 == 1) & (F.col("row") == 1), 0).otherwise(F.col("v"))
+    total = lines.groupBy("doc_id").agg((F.max("row") + 1).alias("row"), F.sum(counted).alias("v"))
+    every = lines.withColumn("label", F.concat(F.lit("line "), F.col("row").cast("string"))).unionByName(total.withColumn("label", F.lit("Total")))
+    amount = F.concat(F.when((F.col("doc_id") % 7 == 3) & (F.col("row") == 2), "").otherwise("$"), F.col("v").cast("decimal(18,2)").cast("string"))
+    cells = F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("label").alias("text")), F.struct(F.lit(1).alias("col"), amount.alias("text")))).alias("c")
+    return every.select("doc_id", F.lit(0).alias("table_id"), (F.col("row") - 1).cast("int").alias("row"), cells).select("doc_id", "table_id", "row", "c.col", "c.text")
+
+
+_CELLS = """lines AS (SELECT l_orderkey AS doc_id, l_linenumber AS row, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem GROUP BY 1, 2),
+every AS (SELECT doc_id, row, v, 'line ' || row AS label FROM lines UNION ALL SELECT doc_id, max(row) + 1, sum(CASE WHEN doc_id % 2 = 1 AND row = 1 THEN 0 ELSE v END), 'Total' FROM lines GROUP BY doc_id),
+money AS (SELECT doc_id, CAST(row - 1 AS INTEGER) AS row, label, CAST(v AS DECIMAL(18,2)) AS v, CASE WHEN doc_id % 7 = 3 AND row = 2 THEN '' ELSE '$' END || CAST(CAST(v AS DECIMAL(18,2)) AS VARCHAR) AS text FROM every)"""
+
+
+@query(f"""WITH {_CELLS}, s AS (SELECT doc_id, sum(v) FILTER (label <> 'Total') AS items, max(v) FILTER (label = 'Total') AS total, max(text) FILTER (label = 'Total') AS text, max(row) AS row, count(*) AS n FROM money GROUP BY doc_id)
+SELECT doc_id, 0 AS table_id, row, 1 AS col, 'total-mismatch' AS type, text, format('line items sum to ${{:.2f}} but the total row says ${{:.2f}} (off by ${{:.2f}})', CAST(items AS DOUBLE), CAST(total AS DOUBLE), CAST(abs(items - total) AS DOUBLE)) AS message
+FROM s WHERE n >= 3 AND abs(items - total) > 0.01""")
+def total_flags(spark, sf_dir):
+    return V.total_flags(_order_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_CELLS}, w AS (SELECT *, count(*) FILTER (text LIKE '$%') OVER (PARTITION BY doc_id) AS signed FROM money)
+SELECT doc_id, 0 AS table_id, row, 1 AS col, 'currency-sigil' AS type, text,
+ CASE WHEN text[1] IN ('3','5','8','9','S','B') THEN '"' || text || '" may be "$' || substr(text, 2) || '" with the "$" misread as "' || text[1] || '"' ELSE '"' || text || '" has no "$" while other amounts in this column do' END AS message
+FROM w WHERE signed >= 2 AND text NOT LIKE '$%'""")
+def currency_sigil(spark, sf_dir):
+    return V.currency_flags(_order_cells(spark, sf_dir))
+
+
+def _order_blocks(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    head = F.concat(F.lit("$"), (F.col("v") + F.when(F.col("doc_id") % 5 == 0, 10).otherwise(0)).cast("decimal(18,2)").cast("string"))
+    row = F.concat(F.lit("Total $"), F.col("v").cast("string"))
+    b = F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.lit("heading").alias("type"), head.alias("text")), F.struct(F.lit(1).alias("idx"), F.lit("row").alias("type"), row.alias("text")))).alias("b")
+    return o.select("doc_id", b).select("doc_id", "b.*")
+
+
+@query("""SELECT o_orderkey AS doc_id, 0 AS idx, 'headline-total-mismatch' AS type, '$' || CAST(CAST(v + 10 AS DECIMAL(18,2)) AS VARCHAR) AS text, format('the headline figure ${:.2f} matches none of the totals stated: ${:.2f}', CAST(v + 10 AS DOUBLE), CAST(v AS DOUBLE)) AS message FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders) WHERE o_orderkey % 5 = 0""")
+def headline_mismatch(spark, sf_dir):
+    return V.headline_flags(_order_blocks(spark, sf_dir))
+
+
+@query("""SELECT type, count(*) AS n FROM (
+ SELECT 'headline-total-mismatch' AS type FROM orders WHERE o_orderkey % 5 = 0 UNION ALL
+ SELECT 'total-mismatch' FROM (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, min(l_linenumber) AS f, sum(CASE WHEN l_linenumber = 1 THEN l_extendedprice ELSE 0 END) AS first FROM lineitem GROUP BY 1) WHERE l_orderkey % 2 = 1 AND n >= 2 AND abs(first) > 0.01
+) GROUP BY type""")
+def flag_histogram(spark, sf_dir):
+    flags = V.headline_flags(_order_blocks(spark, sf_dir)).select("type").unionByName(V.total_flags(_order_cells(spark, sf_dir)).select("type"))
+    return flags.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- lexicon
+
+_TOKENS = r"""SELECT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en') WHERE regexp_matches(w, '^[a-z]{4,}$') AND regexp_matches(w, '[aeiouy]')"""
+
+
+def _english_words(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").where("lang = 'en'")
+    w = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    return w.where(T.dictionary_candidate(F.col("w"), F.lit(False)))
+
+
+@query(f"SELECT w, count(*) AS n FROM ({_TOKENS}) GROUP BY w")
+def lexicon_candidates(spark, sf_dir):
+    return _english_words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH c AS (SELECT w, count(*) AS n FROM ({_TOKENS}) GROUP BY w) SELECT w, n FROM c WHERE w NOT IN (SELECT w FROM c WHERE n >= 20)")
+def lexicon_unknown(spark, sf_dir):
+    c = _english_words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return c.join(c.where("n >= 20").select("w"), "w", "left_anti")
+
+
+@query(f"""WITH c AS (SELECT w, count(*) AS n FROM ({_TOKENS}) GROUP BY w), k AS (SELECT w AS word, row_number() OVER (ORDER BY n DESC, w) AS rank FROM c WHERE n >= 20),
+u AS (SELECT w AS token FROM c WHERE n BETWEEN 8 AND 19),
+p AS (SELECT token, word, rank, levenshtein(token, word) AS d FROM u JOIN k ON abs(length(token) - length(word)) <= 2)
+SELECT token, word AS suggestion FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, length(word), rank) AS r FROM p WHERE d BETWEEN 1 AND 2) WHERE r = 1""")
+def lexicon_suggestion(spark, sf_dir):
+    c = _english_words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # frequency order needs no number: (-n, word) sorts alike
+    lexicon = c.where("n >= 20").select(F.col("w").alias("word"), (-F.col("n")).alias("rank"))
+    return V.suggestions(c.where("n BETWEEN 8 AND 19").select(F.col("w").alias("token")), lexicon)
+
+
+# ---------------------------------------------------------------- events, sequences
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def events_json_records(spark, sf_dir):
+    e = S.json_lines(_t(spark, sf_dir, "events"), "props", "k bigint")
+    return e.groupBy("event_type", F.col("rec.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, event_id % 10 <> 0 AS ok FROM events")
+def events_bad_lines(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("line", F.when(F.col("event_id") % 10 == 0, "not json").otherwise(F.col("props")))
+    return S.json_lines(e, "line", "k bigint").select("event_id", "ok")
+
+
+_CUES = "SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cue, CAST(epoch_us(ts) // 1000000 % 100000 // 100 AS DOUBLE) AS start, event_type || CASE WHEN event_id % 3 = 0 THEN '.' ELSE '' END AS text FROM events"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, cue, CAST(cue * 7 AS DOUBLE) + cue % 5 AS start, text FROM ({_CUES})),
+f AS (SELECT doc_id, cue, start, text, start AS opened FROM c WHERE cue = 1 UNION ALL
+ SELECT c.doc_id, c.cue, c.start, c.text, CASE WHEN (regexp_matches(f.text, '[.!?]$') AND c.start - f.opened > 20) OR c.start - f.opened > 45 THEN c.start ELSE f.opened END FROM f JOIN c ON c.doc_id = f.doc_id AND c.cue = f.cue + 1)
+SELECT doc_id, opened AS start, min(cue) AS first_cue, count(*) AS cues FROM f GROUP BY 1, 2""")
+def cue_paragraphs(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    cue = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    c = e.select(F.col("user_id").alias("doc_id"), cue.cast("long").alias("cue"), F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ".").otherwise("")).alias("text"))
+    return L.cue_paragraphs(c.withColumn("start", F.col("cue") * 7.0 + F.col("cue") % 5))
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1 OR b IS DISTINCT FROM event_type")
+def consecutive_dedupe(spark, sf_dir):
+    return L.without_repeats(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page, CASE WHEN l_orderkey % 3 = 0 THEN '- ' || (l_linenumber + 10) || ' -' WHEN l_orderkey % 3 = 1 THEN 'Page ' || l_linenumber ELSE '[' || (l_linenumber * 2) || ']' END AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+f AS (SELECT *, CAST(regexp_extract(text, '([0-9]+)', 1) AS INTEGER) AS value FROM l WHERE doc_id % 3 <> 1),
+s AS (SELECT *, value - lag(value) OVER w AS step, page - lag(page) OVER w AS move FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+g AS (SELECT doc_id FROM s GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (step > 0 AND step = move) >= ceil((count(*) - 1) * 0.9))
+SELECT doc_id, 'bottom' AS band, page, text, value FROM f WHERE doc_id IN (SELECT doc_id FROM g)""")
+def folio_sequence(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    n = F.col("l_linenumber")
+    text = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("- "), (n + 10).cast("string"), F.lit(" -"))).when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("Page "), n.cast("string"))).otherwise(F.concat(F.lit("["), (n * 2).cast("string"), F.lit("]")))
+    return L.folio_sequences(l.select(F.col("l_orderkey").alias("doc_id"), F.lit("bottom").alias("band"), n.cast("int").alias("page"), text.alias("text")))
+
+
+@query("""WITH s AS (SELECT *, sum(CASE WHEN b IS NOT DISTINCT FROM event_type AND r > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
+SELECT user_id, CAST(island AS BIGINT) AS island, event_type AS header, count(*) AS tables, round(sum(value), 2) AS total FROM s GROUP BY 1, 2, 3""")
+def table_continuation(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    starts = F.col("event_type") != F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return L.islands(e, ["user_id"], ["ts", "event_id"], starts, "island").groupBy("user_id", "island", F.col("event_type").alias("header")).agg(F.count(F.lit(1)).alias("tables"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS page FROM conversations")
+def page_carry(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").withColumn("mark", F.when(F.col("role") != "assistant", F.col("turn")))
+    return L.carried(c, ["conv_id"], ["turn"], "mark", "page").select("conv_id", "turn", "page")
+
+
+@query(r"SELECT conv_id, turn, coalesce(regexp_matches(coalesce(nullif(lead(text, 1) OVER w, ''), lead(text, 2) OVER w, ''), '[0-9$]'), false) AS value_follows FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def label_lookahead(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    after = F.coalesce(F.nullif(F.lead("text", 1).over(w), F.lit("")), F.lead("text", 2).over(w), F.lit(""))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", after.rlike("[0-9$]").alias("value_follows"))
+
+
+@query("""WITH b AS (SELECT lang, n_chars, CAST(sum(least(50, ceil(n_chars / 4.0))) AS BIGINT) AS w FROM documents GROUP BY 1, 2), r AS (SELECT *, sum(w) OVER (PARTITION BY lang ORDER BY n_chars ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY lang) AS a FROM b) SELECT lang, min(n_chars) AS median FROM r WHERE run * 2 > a GROUP BY lang""")
+def weighted_body_size(spark, sf_dir):
+    return L.weighted_median(_t(spark, sf_dir, "documents").withColumn("w", F.least(F.lit(50), F.ceil(F.col("n_chars") / 4.0))), ["lang"], "n_chars", "w")
+
+
+@query("SELECT l_returnflag, l_linestatus, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS median FROM lineitem GROUP BY 1, 2")
+def upper_median_by_group(spark, sf_dir):
+    # exact and without collecting a group: values are counted first, then the one at the middle place is taken
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_extendedprice").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("l_returnflag", "l_linestatus")
+    run = li.withColumn("run", F.sum("n").over(w.orderBy("l_extendedprice"))).withColumn("all", F.sum("n").over(w))
+    return run.where(F.col("run") >= F.floor(F.col("all") / 2) + 1).groupBy("l_returnflag", "l_linestatus").agg(F.min("l_extendedprice").alias("median"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS slowest, max(o_orderkey) FILTER (o_totalprice = m) AS slowest_key FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_orderpriority) AS m FROM orders) GROUP BY 1")
+def slowest_and_total(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_totalprice").alias("slowest"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("slowest_key"))
+
+
+@query("SELECT event_type, event_id, value, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r FROM events) WHERE r <= 20")
+def topk_per_group(spark, sf_dir):
+    w = Window.partitionBy("event_type").orderBy("value", "event_id")
+    return _t(spark, sf_dir, "events").withColumn("place", F.row_number().over(w)).where("place <= 20").select("event_type", "event_id", "value", "place")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, n > 3 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE r <= 3")
+def row_cap_truncation(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey")
+    l = _t(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey"))).withColumn("n", F.count(F.lit(1)).over(w))
+    return l.where("r <= 3").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("n") > 3).alias("truncated"))
+
+
+# ---------------------------------------------------------------- expectations and scoring
+
+
+@query("SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
+def expectation_contains(spark, sf_dir):
+    # needles meet only texts that hold their first three words: an equality join on word triples, then the exact test
+    words = lambda t: F.filter(F.split(t, r"[ \t\n\r\f]+"), lambda w: w != "")
+    b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    keyed = b.withColumn("w", words(F.col("needle"))).select("item_id", "needle", F.array_join(F.slice("w", 2, 3), " ").alias("k"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    wd = d.withColumn("w", words(F.col("text")))
+    triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
+    hits = wd.select("doc_id", F.explode(triples).alias("k")).join(keyed.select("k", "item_id"), "k").select("doc_id", "item_id").distinct()
+    exact = hits.join(d, "doc_id").join(b, "item_id").where(F.contains("text", "needle")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return b.join(exact, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("documents"))
+
+
+@query("SELECT l_orderkey, count(*) AS lines, count(*) FILTER (contains(line, '99')) AS attributed FROM (SELECT l_orderkey, l_partkey || ' $' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS line FROM lineitem) GROUP BY 1")
+def attribution_same_line(spark, sf_dir):
+    line = F.concat(F.col("l_partkey").cast("string"), F.lit(" $"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.count_if(line.contains("99")).alias("attributed"))
+
+
+# ---------------------------------------------------------------- scalars
+
+
+@query("SELECT p_partkey, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN chr(CAST(65 + (i - 26) // 26 AS INTEGER)) || chr(CAST(65 + (i - 26) % 26 AS INTEGER)) ELSE chr(CAST(65 + (i - 702) // 676 AS INTEGER)) || chr(CAST(65 + (i - 702) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (i - 702) % 26 AS INTEGER)) END AS letters, i AS number FROM (SELECT p_partkey, CAST(p_partkey AS INTEGER) AS i FROM part)")
+def excel_column_letters(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("int").alias("i")).withColumn("letters", T.column_letters(F.col("i")))
+    return p.select("p_partkey", "letters", T.column_number(F.col("letters")).alias("number"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS dt FROM orders")
+def excel_serial_dates(spark, sf_dir):
+    serial = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("double")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", T.serial_date(serial).alias("d"), T.serial_date(serial + 0.25).alias("dt"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS full_date, strftime(o_orderdate, '%Y-%m-01T00:00:00Z') AS month_only FROM orders")
+def pdf_dates(spark, sf_dir):
+    at = F.date_format("o_orderdate", "yyyyMMddHHmmss")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(F.concat(F.lit("D:"), at, F.lit("+02'00'"))).alias("full_date"), T.pdf_date(F.concat(F.lit("D:"), F.substring(at, 1, 6))).alias("month_only"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS value, format('${:.2f}', l_extendedprice) AS shown FROM lineitem")
+def money_parse(spark, sf_dir):
+    text = F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.money(text).cast("double").alias("value"), T.money_text(T.money(text)).alias("shown"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'pdf', 'pdf', 'a.b'), (2, 'archive', 'docx', 'report'), (3, 'csv', 'csv', 'rows'), (4, 'html', 'xyz', 'page'), (5, 'text', '', 'README'), (6, 'unsupported', 'bin', 'blob'), (7, 'image', 'txt', 'scan'), (8, 'unsupported', 'doc', 'old')) v(id, kind, ext, stem)""")
+def format_detect(spark, sf_dir):
+    rows = [(1, "255044462D312E37", "a.b.pdf", ""), (2, "504B030414000600", "dir/report.DOCX", ""), (3, "612C62", "rows.csv", ""), (4, "3C68746D6C3E", "page.xyz", "text/html"), (5, "68656C6C6F", "README", ""), (6, "00010203", "blob.bin", ""), (7, "89504E470D0A1A0A", "scan.txt", ""), (8, "D0CF11E0A1B11AE1", "old.doc", "")]
+    f = spark.createDataFrame(rows, "id int, hex string, name string, mime string").withColumn("content", F.unhex("hex"))
+    return f.select("id", D.detect(F.col("content"), F.col("name"), F.col("mime")).alias("kind"), D.extension(F.col("name")).alias("ext"), D.base_name(F.col("name")).alias("stem"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'opens-mid-parenthetical'), (2, 'unbalanced-brackets'), (3, 'leading-date'), (4, 'uppercase-descriptor-fragment'), (5, NULL), (6, 'empty'), (7, NULL)) v(id, rule)""")
+def heading_rejections(spark, sf_dir):
+    rows = [(1, "(EG, FOR A"), (2, "HEEL)"), (3, "08-14-2026 Scan"), (4, "MATERIAL(S)"), (5, "Findings"), (6, "  "), (7, "Results (summary)")]
+    return spark.createDataFrame(rows, "id int, text string").select("id", T.heading_rejection(F.col("text")).alias("rule"))
+
+
+@query("SELECT c_custkey, '```' || '`' || 'sql' || chr(10) || 'a ``` ' || c_name || chr(10) || '````' AS fenced FROM customer")
+def code_fences(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", T.fence(F.concat(F.lit("a ``` "), "c_name"), F.lit("sql")).alias("fenced"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_ingest(spark, sf_dir):
+    from ..streaming.ingest import available_now
+
+    return available_now(spark, sf_dir, "events", ["event_type"])
