@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     family = stored(family.join(classes.select("rep", "n"), "rep"), "family")
     parts = family.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("parts"))
     member = family.join(parts, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    text = docs.join(member, docs["doc_id"] == member["rep"])
+    # the same join at every size: texts go to their families through one exchange
+    text = docs.join(member.hint("merge"), docs["doc_id"] == member["rep"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(F.col("block"), i).alias("i"), F.greatest(F.col("block"), i).alias("j")))
     dealt = text.select("family", F.explode(pairs).alias("p"), "block", "rep", "text").select("family", "p.i", "p.j", "block", "rep", "text")
     stars = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_verify(k, percent), "a long, b long")
