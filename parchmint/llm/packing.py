@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,27 +26,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Ids(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers."""
+class _Ids:
+    """Ids of words as little-endian unsigned 32-bit integers, remembered between texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
+    def learn(self, words: Iterable[bytes]) -> None:
+        new = [w for w in set(words) if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(set(words))
         for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False)):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
+            part = new[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                self.known[w] = array("I", e.ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[word] = got
-        return got
+    def __call__(self, text: str | None) -> bytes:
+        words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII spaces and nothing else
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return b"".join(map(self.known.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def _ids(path: str) -> _Ids:
+    """One memory for each Python worker, for all its tasks."""
+    return _Ids(path)
 
 
 def _pieces(path: str, limit: int, end_id: int):
@@ -55,13 +66,11 @@ def _pieces(path: str, limit: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end = _Ids(path), np.array([end_id], dtype="<u4").tobytes()
+        ids, end = _ids(path), array("I", [end_id]).tobytes()
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = _ascii_split(text.as_py())
-                ids.learn(words)
-                found = b"".join(map(ids.__getitem__, words)) + end
+                found = ids(text.as_py()) + end
                 for n, at in enumerate(range(0, len(found), 4 * limit)):
                     part = found[at : at + 4 * limit]
                     out.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -71,13 +80,6 @@ def _pieces(path: str, limit: int, end_id: int):
     return run
 
 
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-
-
-def _ascii_split(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_SPACES).split(" ") if w]
-
-
 def cut(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32. Null and empty texts give one piece that holds the end id alone."""
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(_pieces(path or default_tokenizer(), limit, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
