@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -56,12 +56,20 @@ def prose_tokens(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", "line_no", "pos", token.alias("token"), initial.alias("initial")).where(T.dictionary_candidate(F.col("token"), F.col("initial")))
 
 
+def _deletions(c: Column) -> Column:
+    """A word with up to two of its letters left out."""
+    less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = less(c)
+    two = F.flatten(F.transform(F.filter(one, lambda x: x != ""), less))
+    return F.array_distinct(F.concat(F.array(c), one, two))
+
+
 def suggestions(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """For each unknown token the nearest word: token, suggestion. lexicon: word, rank.
 
-    One edit before two; then shorter words, then rank. The length band is exploded
-    into an equality key, so that no pair of far lengths is compared."""
-    unknown = tokens.select(F.lower("token").alias("token")).distinct().join(lexicon.select(F.col("word").alias("token")), "token", "left_anti")
-    banded = unknown.withColumn("len", F.explode(F.sequence(F.length("token") - 2, F.length("token") + 2)))
-    near = banded.join(lexicon.withColumn("len", F.length("word")), "len").withColumn("d", F.levenshtein("token", "word", 2)).where("d BETWEEN 1 AND 2")
-    return near.groupBy("token").agg(F.min_by("word", F.struct("d", "len", "rank", "word")).alias("suggestion"))
+    One edit before two; then shorter words, then rank. Two words within two edits share a form with up to two letters
+    left out of each, so an equality join on those forms finds all pairs, and the distance is taken of these alone."""
+    unknown = tokens.select(F.lower("token").alias("token")).where("token <> ''").distinct().join(lexicon.select(F.col("word").alias("token")), "token", "left_anti")
+    pairs = unknown.select("token", F.explode(_deletions(F.col("token"))).alias("form")).join(lexicon.where("word <> ''").select("word", "rank", F.explode(_deletions(F.col("word"))).alias("form")), "form")
+    near = pairs.select("token", "word", "rank").distinct().withColumn("d", F.levenshtein("token", "word", 2)).where("d BETWEEN 1 AND 2")
+    return near.groupBy("token").agg(F.min_by("word", F.struct("d", F.length("word").alias("len"), "rank", "word")).alias("suggestion"))
