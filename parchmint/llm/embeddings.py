@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +57,11 @@ def codes(x: np.ndarray, hashes: int, tables: int = TABLES) -> np.ndarray:
     return out
 
 
-def unit(raw: bytes) -> np.ndarray:
-    x = np.frombuffer(raw, "<f8")
-    x = x / np.abs(x).max()
-    return x / math.sqrt(float(x @ x))
+def units(raw: list[bytes]) -> np.ndarray:
+    """Vectors of one length, as bytes of doubles, scaled to length 1. A row's result depends on that row alone, so that its buckets are the same wherever they are computed."""
+    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +82,7 @@ def _bucketed(hashes: int):
             for i, v in enumerate(raw):
                 by.setdefault(len(v), []).append(i)
             for at in by.values():
-                c = codes(np.stack([unit(raw[i]) for i in at]), hashes).reshape(len(at), -1)
+                c = codes(units([raw[i] for i in at]), hashes).reshape(len(at), -1)
                 width, own = c.shape[1], np.arange(c.shape[1]) % (hashes + 1) == 0
                 take = pa.array(np.repeat(at, width))
                 yield pa.RecordBatch.from_arrays([pa.array(c.ravel().view(np.int64)), pa.array(np.tile(own, len(at))), *[b.column(i).take(take) for i in range(3)]], ["bucket", "own", "id", "n", "v"])
@@ -89,63 +90,114 @@ def _bucketed(hashes: int):
     return run
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of sorted batches, cut so that no (bucket, i, j) lies in two tables."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        keys = [t.column(i).to_numpy() for i in range(3)]
+        starts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        cut = int(starts[-1]) if len(starts) else 0
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _near_pairs(x: np.ndarray, own: np.ndarray, limit: float, side: np.ndarray, one: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of equal (small) groups: a row and those up to `end` after it, for one distance after the other."""
+    found, rows = [], np.arange(len(x))
+    for k in range(1, int((end - rows).max(initial=0))):
+        rows = rows[rows + k < end[rows]]
+        p = rows[(own[rows] | own[rows + k]) & (one[rows] | (side[rows] != side[rows + k]))]
+        for at in range(0, len(p), 8192):
+            i = p[at : at + 8192]
+            i = i[np.einsum("ij,ij->i", x[i], x[i + k]) >= limit]
+            found.append((i, i + k))
+    return tuple(np.concatenate(f) if found else np.empty(0, np.int64) for f in (zip(*found) if found else ((), ())))
+
+
+def _block_pairs(x: np.ndarray, own: np.ndarray, limit: float, side: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one large group, by products of 256 rows with all."""
+    found = []
+    for at in range(0, len(x), 256):
+        rows = slice(at, at + 256)
+        close = (x[rows] @ x[at:].T >= limit) & (own[rows, None] | own[None, at:])
+        if not one:
+            close &= side[rows, None] != side[None, at:]
+        p, q = np.nonzero(close)
+        found.append((p[p < q] + at, q[p < q] + at))
+    return tuple(np.concatenate(f) for f in zip(*found))
+
+
+def _settled(p: np.ndarray, q: np.ndarray, x: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """links and root (smallest row that it is tied to) of each row, from those pairs whose first shared bucket is the one at hand."""
+    need = np.unique(np.r_[p, q])
+    place = np.empty(len(x), dtype=np.int64)
+    place[need] = np.arange(len(need))
+    c, here = codes(x[need], hashes), bucket.view(np.uint64)
+    none, links, ties = np.iinfo(np.uint64).max, np.zeros(len(x), dtype=np.int64), []
+    for at in range(0, len(p), 4096):
+        a, b = p[at : at + 4096], q[at : at + 4096]
+        left, right = c[place[a]], c[place[b]]
+        same = left[:, :, :, None] == right[:, :, None, :]
+        same[:, :, 1:, 1:] = False
+        shared = np.where(same.any(3), left, none).min(2)  # smallest shared bucket of each table
+        mine = shared[np.arange(len(a)), (shared != none).argmax(1)] == here[a]
+        a, b = a[mine], b[mine]
+        np.add.at(links, a, sizes[b])
+        np.add.at(links, b, sizes[a])
+        ties.append((a, b))
+    a, b = (np.concatenate(t) for t in zip(*ties))
+    root = np.arange(len(x))
+    while len(a) and (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        for side in (a, b):
+            np.minimum.at(root, root[side], least)
+            np.minimum.at(root, side, least)
+        root = root[root]
+    return links, root
+
+
+#: Groups of more rows are compared by products of matrices.
+FEW = 48
+
+
 def _links(hashes: int, limit: float):
     """For each bucket (or pair of its blocks): pairs of which at least one is in its own bucket and whose cosine reaches the limit, each counted in the first of the buckets that it shares."""
 
-    def rows(batches):
-        for b in batches:
-            yield from zip(*[b.column(i).to_pylist() for i in range(8)])
+    def settle(t: pa.Table) -> Iterator[tuple]:
+        bucket, first, second, side, own, key, n = (t.column(i).to_numpy() for i in range(7))
+        fresh = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in (bucket, first, second, key)])]
+        own = np.logical_or.reduceat(own, np.flatnonzero(fresh))
+        bucket, first, second, side, key, n = (k[fresh] for k in (bucket, first, second, side, key, n))
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in (bucket, first, second)])])
+        ends = np.r_[starts[1:], len(bucket)]
+        width = np.repeat(ends - starts, ends - starts)
+        x = units(t.column(7).filter(pa.array(fresh)).to_pylist())
+        few = np.flatnonzero((width > 1) & (width <= FEW))
+        jobs = [few] if len(few) else []
+        jobs += [np.arange(s, e) for s, e in zip(starts, ends) if e - s > FEW]
+        for at in jobs:
+            if at is few:
+                group = np.repeat(np.arange(len(starts)), ends - starts)[at]
+                end = np.searchsorted(group, group, "right")
+                p, q = _near_pairs(x[at], own[at], limit, side[at], (first == second)[at], end)
+            else:
+                p, q = _block_pairs(x[at], own[at], limit, side[at], bool(first[at[0]] == second[at[0]]))
+            if len(p):
+                links, root = _settled(p, q, x[at], np.ascontiguousarray(bucket[at]), n[at], hashes)
+                some = np.flatnonzero(links)
+                yield key[at][some], links[some], key[at][root[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, first, second), group in groupby(rows(batches), key=lambda r: r[:3]):
-            seen: dict[int, tuple] = {}
-            for _, _, _, block, own, key, n, v in group:
-                seen[key] = (block, own or key in seen and seen[key][1], n, v)
-            keys = sorted(seen)
-            side = np.array([seen[k][0] for k in keys])
-            own = np.array([seen[k][1] for k in keys])
-            i, j = (np.flatnonzero(side == s) for s in (first, second))
-            if len(keys) < 2 or not len(i) or not len(j) or not own.any():
-                continue
-            x = np.stack([unit(seen[k][3]) for k in keys])
-            close = (x[i] @ x[j].T >= limit) & (own[i][:, None] | own[j][None, :])
-            p, q = np.nonzero(close)
-            p, q = i[p], j[q]
-            if first == second:
-                p, q = p[p < q], q[p < q]
-            if not len(p):
-                continue
-            need = np.unique(np.r_[p, q])
-            c = np.zeros((len(keys), TABLES, hashes + 1), dtype=np.uint64)
-            c[need] = codes(x[need], hashes)
-            links, ties = np.zeros(len(keys), dtype=np.int64), []
-            sizes = np.array([seen[k][2] for k in keys])
-            here = np.int64(bucket).view(np.uint64)
-            for at in range(0, len(p), 4096):
-                a, b = p[at : at + 4096], q[at : at + 4096]
-                same = c[a][:, :, :, None] == c[b][:, :, None, :]
-                same[:, :, 1:, 1:] = False
-                shared = np.where(same.any(3), c[a], np.iinfo(np.uint64).max).min(2)  # smallest shared bucket of each table
-                table = (shared != np.iinfo(np.uint64).max).argmax(1)
-                mine = shared[np.arange(len(a)), table] == here
-                a, b = a[mine], b[mine]
-                np.add.at(links, a, sizes[b])
-                np.add.at(links, b, sizes[a])
-                ties += zip(a.tolist(), b.tolist())
-            root = list(range(len(keys)))
-
-            def find(u):
-                while root[u] != u:
-                    root[u] = root[root[u]]
-                    u = root[u]
-                return u
-
-            for a, b in ties:
-                a, b = find(a), find(b)
-                root[max(a, b)] = min(a, b)
-            out = [(keys[u], int(links[u]), keys[find(u)]) for u in range(len(keys)) if links[u]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "links", "root"])
+        for whole in _whole_groups(batches):
+            length = pc.binary_length(whole.column(7)).to_numpy()
+            for d in np.unique(length):  # vectors of different lengths don't link
+                for out in settle(whole if (length == d).all() else whole.filter(pa.array(length == d))):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "links", "root"])
 
     return run
 
@@ -170,7 +222,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.9, block: int = BLOCK) ->
     split = dealt.join(small(large), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(F.col("block"), i).alias("i"), F.greatest(F.col("block"), i).alias("j")))
     spread = split.select("bucket", F.explode(pairs).alias("p"), "block", "own", "id", "n", "v").select("bucket", "p.i", "p.j", "block", "own", "id", "n", "v")
-    found = stored(spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links(hashes, limit), "id long, links long, root long"), "vector-links")
+    found = stored(spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(_links(hashes, limit), "id long, links long, root long"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = components(found.select(F.col("root").alias("a"), F.col("id").alias("b")), "vector-components").toDF("id", "component")
     known = classes.join(links, "id", "left").join(component, "id", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
