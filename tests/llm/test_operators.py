@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parchmint.llm import classifier, embeddings, lines, minhash, mixing, packing, rules, sharding, suffixes, warc
@@ -128,6 +129,35 @@ def test_near_vectors_against_brute_force(spark):
     assert got[5].component_id == got[4].component_id
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_links_of_large_and_split_buckets(parts):
+    """One tight group of 150 (more than FEW, so compared by products) among others; whole buckets, and buckets split in three blocks; batches cut anywhere."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 16))
+    x[:150] = x[0] + r.normal(size=(150, 16)) * 0.03
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([1] * 400), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "n", "v"])
+    dealt = pa.Table.from_batches(embeddings._bucketed(1)([batch])).to_pylist()
+    rows = []
+    for d in dealt:
+        block = d["id"] % parts
+        rows += [(d["bucket"], min(block, i), max(block, i), d["id"], block, d["own"], d["n"], d["v"]) for i in range(parts)]
+    rows.sort(key=lambda row: row[:4])
+    assert {row[:4] for row in rows} and len({row[:4] for row in rows}) == len(rows)
+    columns = [[row[i] for row in rows] for i in (0, 1, 2, 4, 5, 3, 6, 7)]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    table = pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=list("abcdefgh"))
+    links, tied = np.zeros(400, dtype=int), set()
+    for out in embeddings._links(1, 0.9)(iter(table.to_batches(max_chunksize=97))):
+        for key, n, root in zip(*[out.column(i).to_pylist() for i in range(3)]):
+            links[key] += n
+            tied.add((key, root))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.9
+    np.fill_diagonal(close, False)
+    assert (links <= close.sum(1)).all() and links.sum() >= 0.99 * close.sum()
+    assert (links[:150] == 149).all() and all(close[a, b] or a == b or max(a, b) < 150 for a, b in tied)
+
+
 def test_near_duplicates(docs, none, texts):
     rows = minhash.near_duplicates(docs, k=4).collect()
     got = {r.doc_id: r for r in rows}
