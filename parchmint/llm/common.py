@@ -103,27 +103,38 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+#: Entries that a Python worker remembers at most, and the longest word (bytes) among them: below 0.1 GB.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+
+_memory: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """What `owner` remembers between the calls and tasks of a Python worker. A new owner takes the place of the one before, so a worker that serves one operator after the other holds one memory."""
+    if owner not in _memory:
+        _memory.clear()
+        _memory[owner] = {}
+    return _memory[owner]
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash for each word. A dictionary keeps those of frequent words between calls."""
+    """A 64-bit hash for each word; those of frequent words are remembered."""
     import xxhash
 
-    get, f = _seen.get, xxhash.xxh3_64_intdigest
+    seen, f = memory("hashes"), xxhash.xxh3_64_intdigest
     out = np.empty(len(words), dtype=np.uint64)
-    if len(_seen) > 1_000_000:
-        _seen.clear()
     try:
-        out[:] = list(map(_seen.__getitem__, words))
+        out[:] = list(map(seen.__getitem__, words))
     except KeyError:
-        for w in set(words):
-            if get(w) is None:
-                _seen[w] = f(w)
-        out[:] = list(map(_seen.__getitem__, words))
+        out[:] = list(map(f, words))
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        for w, h in zip(words, out.tolist()):
+            if len(w) <= REMEMBERED_BYTES and len(seen) <= REMEMBERED:
+                seen[w] = h
     return out
 
 
-_seen: dict[bytes, int] = {}
-
-
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all windows of k words; of the whole sequence if it is shorter; none of an empty one."""
     n = len(hashes)

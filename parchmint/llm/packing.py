@@ -13,11 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stored
+from .common import REMEMBERED, REMEMBERED_BYTES, memory, stored
 
 LIMIT = 4096
-#: Words that a Python worker remembers the ids of.
-REMEMBERED = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -27,35 +25,40 @@ def default_tokenizer() -> str:
 
 
 class _Ids:
-    """Ids of words as little-endian unsigned 32-bit integers, remembered between texts."""
+    """Ids of words as little-endian unsigned 32-bit integers; those of short words are remembered between texts, up to a fixed number."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.owner = Tokenizer.from_file(path), f"ids {path}"
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(words))
+    def learn(self, known: dict, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all of `words`, of which those that fit are remembered from now on."""
+        found = {w: known[w] for w in words if w in known}
+        new = [w for w in words if w not in found]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = array("I", e.ids).tobytes()
+                found[w] = array("I", e.ids).tobytes()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+        for w in new[:REMEMBERED]:
+            if len(w) <= REMEMBERED_BYTES:
+                known[w] = found[w]
+        return found
 
     def __call__(self, text: str | None) -> bytes:
+        known = memory(self.owner)
         words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII spaces and nothing else
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            self.learn(words)
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.learn(known, set(words)).__getitem__, words))
 
 
 @lru_cache(maxsize=1)
 def _ids(path: str) -> _Ids:
-    """One memory for each Python worker, for all its tasks."""
+    """One tokenizer for each Python worker, for all its tasks."""
     return _Ids(path)
 
 
