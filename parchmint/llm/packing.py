@@ -5,9 +5,10 @@ from __future__ import annotations
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import Window
 from .common import REMEMBERED, REMEMBERED_BYTES, memory, stored
 
 LIMIT = 4096
+#: A word of its own that texts hardly hold.
+SEPARATOR = "\x7f"
 
 
 def default_tokenizer() -> str:
@@ -25,35 +28,45 @@ def default_tokenizer() -> str:
 
 
 class _Ids:
-    """Ids of words as little-endian unsigned 32-bit integers; those of short words are remembered between texts, up to a fixed number."""
+    """Ids of words as little-endian unsigned 32-bit integers; those of short words are remembered between texts, `entries` at most."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = 2 * REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.owner = Tokenizer.from_file(path), f"ids {path}"
+        self.entries, self.tokenizer, self.owner = entries, Tokenizer.from_file(path), f"ids {path}"
+        alone = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = alone[0] if len(alone) == 1 else -1
 
-    def learn(self, known: dict, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all of `words`, of which those that fit are remembered from now on."""
-        found = {w: known[w] for w in words if w in known}
-        new = [w for w in words if w not in found]
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, by one call for all of them with a separator between two. Where the separators don't come out as one id each, and as nothing else, every word is encoded by itself."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(ids == self.separator) * 4
+        if len(at) != len(words) - 1:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])]
+
+    def learn(self, known: dict, new: list[bytes]) -> None:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                found[w] = array("I", e.ids).tobytes()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        for w in new[:REMEMBERED]:
-            if len(w) <= REMEMBERED_BYTES:
-                known[w] = found[w]
-        return found
+            known.update(zip(part, self.encoded([w.decode("utf-8", "replace") for w in part])))
 
     def __call__(self, text: str | None) -> bytes:
         known = memory(self.owner)
         words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII spaces and nothing else
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self.learn(known, set(words)).__getitem__, words))
+        new = set(words).difference(known)
+        if new:
+            if len(known) + len(new) > self.entries:
+                known.clear()
+                new = set(words)
+            self.learn(known, list(new))
+        out = b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > REMEMBERED_BYTES:
+                del known[w]
+        if len(known) > self.entries:
+            known.clear()
+        return out
 
 
 @lru_cache(maxsize=1)
