@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parchmint.llm import classifier, embeddings, lines, minhash, mixing, packing, rules, sharding, suffixes, warc
+from parchmint.llm import classifier, common, embeddings, lines, minhash, mixing, packing, rules, sharding, suffixes, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string"
 
@@ -240,3 +240,19 @@ def test_mix(docs, none):
     assert mixing.mix(docs).columns == docs.columns
     assert sorted(map(str, plan.collect())) == sorted(map(str, rows))
     assert mixing.plan_mix(none).count() == 0
+
+
+def test_ids_of_words_equal_the_tokenizers_with_any_memory():
+    ids = packing._Ids(packing.default_tokenizer(), 50)
+    texts = ["", None, "a b\x7fc d", "\x7f", "x \x7f y \x7f z", "Grüße, é ́x it's 12,3 q퟿", "w" * 500 + " k " + "w" * 500, " ".join(f"n{i}" for i in range(200)), "\x0b\x1f \x85 a b"]
+    for text in texts * 2:
+        assert list(np.frombuffer(ids(text), "<u4")) == ids.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert all(len(w) <= 64 for w in common.memory(ids.owner))
+
+
+def test_a_worker_holds_one_memory():
+    first = common.word_hashes([b"a", b"b", b"a"])
+    assert first[0] == first[2] != first[1] and common.memory("hashes")
+    common.memory("other")["x"] = 1
+    assert not common.memory("hashes")
+    assert (common.word_hashes([b"a", b"b", b"a"]) == first).all()
