@@ -1,4 +1,4 @@
-"""Operator 8: remove passages of several lines that occur elsewhere, by content-defined chunks of lines."""
+"""Operator 8: remove passages of several lines that occur elsewhere. A chunk of two lines starts at every line, so no passage is missed; content-defined chunks are what is counted."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 #: Lines under the rolling hash; one place in DIVISOR is a boundary; least and most lines of a chunk.
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 16
@@ -44,24 +44,38 @@ def chunks(text: str | None) -> tuple[list[bytes], list[tuple[int, int, bool]]]:
     return lines, out
 
 
-def _emit(with_bytes: bool):
+def pairs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """First line and end of every two neighbouring lines with a word; blank lines between them belong to the pair."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return [(i, j + 1) for i, j in zip(full, full[1:])]
+
+
+def _emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and bytes of what pairs consist of: lines with a word, alone and with the blank lines before them."""
     import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                lines, found = chunks(text.as_py())
-                for i, (start, end, several) in enumerate(found):
-                    if several:
-                        raw = b"\n".join(lines[start:end])
-                        rows.append((key, i, xxhash.xxh3_64_intdigest(raw, 8) - (1 << 63), raw if with_bytes else None))
-            cols = list(zip(*rows)) or [()] * 4
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
-            names = ["doc_id", "chunk", "h", "raw"]
-            yield pa.RecordBatch.from_arrays(arrays[: 3 + with_bytes], names[: 3 + with_bytes])
+    for b in batches:
+        seen = set()
+        for text in b.column(1):
+            lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+            for start, end in pairs(lines):
+                seen.update((lines[start], b"\n".join(lines[start + 1 : end])))
+        raw = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["h", "raw"])
+
 
-    return run
+def _emit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs by the hashes of their first line and of the rest."""
+    import xxhash
+
+    f = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
+    for b in batches:
+        rows = []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+            lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+            rows += [(key, i, f(lines[start]), f(b"\n".join(lines[start + 1 : end]))) for i, (start, end) in enumerate(pairs(lines))]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "pair", "a", "b"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,38 +90,50 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((text, text.count("\n") + 1, 0, 0, 0))
                 continue
             lines, found = chunks(text)
-            gone = set(drop)
-            kept = [x for i, (s, e, _) in enumerate(found) if i not in gone for x in lines[s:e]]
-            rows.append((b"\n".join(kept).decode("utf-8", "surrogatepass"), len(lines), len(found), len(gone), len(lines) - len(kept)))
+            spans, gone, whole = pairs(lines), set(), 0
+            for i in drop:
+                # rows that repeat a doc_id may have fewer pairs
+                gone.update(range(*spans[i]) if i < len(spans) else ())
+            for start, end, several in found:
+                if several and all(i in gone for i in range(start, end) if lines[i].strip()):
+                    gone.update(range(start, end))
+                    whole += 1
+            kept = [x for i, x in enumerate(lines) if i not in gone]
+            rows.append((b"\n".join(kept).decode("utf-8", "surrogatepass"), len(lines), len(found), whole, len(gone)))
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4))]], ["row", "kept", "n_lines", "n_chunks", "chunks_removed", "lines_removed"])
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, drop (numbers of the chunks to remove) of documents (doc_id, text) that hold a chunk of several lines that also occurs earlier: in a smaller doc_id, or earlier in the same text.
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, drop (numbers of the pairs to remove) of documents (doc_id, text) that hold a pair of lines that also occurs earlier: in a smaller doc_id, or earlier in the same text.
 
-    Grouping by hash and by the chunk's bytes is the byte comparison: a group has one content. A hash that stands for two contents removes nothing.
-    Equal chunks are combined in each task first, so a frequent one travels once from each.
+    Lines travel once with their bytes, to find hashes that stand for two contents; pairs with such a hash remove nothing, and of all others equal hashes
+    are equal bytes. Equal lines and pairs are combined in each task first, so a frequent one travels once from each.
     """
     docs = docs.where("doc_id IS NOT NULL")
-    content = docs.mapInArrow(_emit(True), "doc_id long, chunk int, h long, raw binary")
-    same = content.groupBy("h", "raw").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = same.groupBy("h").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("n"), F.min("first").alias("first")).where("contents = 1 AND n > 1").select("h", "first")
-    places = docs.mapInArrow(_emit(False), "doc_id long, chunk int, h long")
-    again = places.join(stored(firsts, "chunks"), "h").where("doc_id <> first.doc_id OR chunk <> first.chunk")
-    return again.groupBy("doc_id").agg(F.collect_set("chunk").alias("drop"))
+    content = docs.mapInArrow(_emit_lines, "h long, raw binary").distinct()
+    unsure = stored(content.groupBy("h").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("h"), "unsure-lines")
+    places = docs.mapInArrow(_emit_pairs, "doc_id long, pair int, a long, b long")
+    firsts = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pair")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
+    for c in ("a", "b"):
+        firsts = firsts.join(small(unsure.withColumnRenamed("h", c)), c, "left_anti")
+    again = places.join(stored(firsts.select("a", "b", "first"), "pairs"), ["a", "b"]).where("doc_id <> first.doc_id OR pair <> first.pair")
+    return again.groupBy("doc_id").agg(F.collect_set("pair").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`row` (struct of all columns), kept (the text without repeated chunks), n_lines, n_chunks (0 where nothing is removed), chunks_removed, lines_removed.
+    """`row` (struct of all columns), kept (the text without repeated passages), n_lines, n_chunks (0 where nothing is removed), chunks_removed (those that go whole), lines_removed.
 
-    Null texts stay null and have one line; rows without doc_id stay as they are; rows that repeat a doc_id are treated alike. Of a chunk that repeats, the
-    occurrence in the smallest doc_id, or first in its text, stays. Blank lines don't count towards a chunk's lines. An empty table gives no rows.
+    Two neighbouring lines that occur earlier go, so a run of two or more goes whole wherever chunks end; where all lines of a chunk go, its blank lines go too.
+    Null texts stay null and have one line; rows without doc_id stay as they are; rows that repeat a doc_id are treated alike. Of a pair that repeats, the
+    occurrence in the smallest doc_id, or first in its text, stays, unless its lines repeat others: every line that goes has an equal one
+    earlier that stays. Blank lines don't count as lines of a pair. An empty table gives no rows.
     """
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    drop = stored(repeated_chunks(plain), "drops").withColumnRenamed("doc_id", "id")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("key"), docs["text"].cast("string").alias("whole"))
-    joined = rows.join(drop, F.col("key") == F.col("id"), "left").select("row", "whole", "drop")
+    drop = stored(repeated_pairs(plain), "drops").withColumnRenamed("doc_id", "id")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("key"))
+    # texts meet their drops by the same merge join at every size, and travel once
+    joined = rows.join(drop.hint("merge"), F.col("key") == F.col("id"), "left").select("row", F.col("row.text").cast("string").alias("whole"), "drop")
     kind = joined.select("row").schema["row"].dataType.simpleString()
     return joined.select("row", "whole", "drop").mapInArrow(_cut, f"row {kind}, kept string, n_lines long, n_chunks long, chunks_removed long, lines_removed long")
 

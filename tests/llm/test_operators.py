@@ -214,6 +214,34 @@ def test_line_dedup(spark, none):
     assert lines.without_repeats(none).count() == 0
 
 
+def test_line_dedup_finds_every_run(spark):
+    rng = random.Random(8)
+    line = lambda: words(rng, 12)
+    texts = {}
+    for n in range(2, 21):
+        run = [line() for _ in range(n)]
+        for i in (0, 1):
+            texts[2 * n + i] = "\n".join([line() for _ in range(rng.randint(0, 9))] + run + [line() for _ in range(rng.randint(0, 9))])
+    few = [line() for _ in range(4)] + ["", " "]
+    texts |= {100 + i: "\n".join(rng.choice(few) for _ in range(rng.randint(1, 9))) for i in range(60)}
+    got = by_id(lines.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).selectExpr("row.doc_id", "kept", "lines_removed"))
+    seen, stay = set(), set()
+    for k, text in sorted(texts.items()):
+        all_lines, gone = text.split("\n"), set()
+        full = [i for i, x in enumerate(all_lines) if x.strip()]
+        for i, j in zip(full, full[1:]):
+            raw = "\n".join(all_lines[i : j + 1])
+            if raw in seen:
+                gone |= set(range(i, j + 1))
+            seen.add(raw)
+        kept = [x for i, x in enumerate(all_lines) if i not in gone and x.strip()]
+        stay |= set(kept)
+        assert [x for x in (got[k].kept or "").split("\n") if x.strip()] == kept
+        assert {x for x in all_lines if x.strip()} <= stay
+        if k < 100:
+            assert got[k].lines_removed == (k // 2 if k % 2 else 0)
+
+
 def test_archive_round_trip(spark, tmp_path):
     rows = [(3, "http://a/\r\nX: y", "<p>é</p>", 1), (1, None, "<p>é</p>", 1), (2, "u", None, 1), (5, "u", "", 1), (None, "n", "<p>é</p>", 1), (3, "http://a/\r\nX: y", "<p>é</p>", 1), (7, "v", "b" * 100_000, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
