@@ -283,6 +283,14 @@ def lexicon_suggestion(spark, sf_dir):
     return V.suggestions(c.where("n BETWEEN 8 AND 19").select(F.col("w").alias("token")), lexicon)
 
 
+@query()
+def lexicon_suggestion_all(spark, sf_dir):
+    """As lexicon_suggestion, for every unknown word and not only for those seen 8 to 19 times."""
+    c = _english_words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    lexicon = c.where("n >= 20").select(F.col("w").alias("word"), (-F.col("n")).alias("rank"))
+    return V.suggestions(c.where("n < 20").select(F.col("w").alias("token")), lexicon)
+
+
 # ---------------------------------------------------------------- events, sequences
 
 

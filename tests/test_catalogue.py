@@ -1,5 +1,7 @@
 """Every query with SQL beside it gives the same rows as that SQL."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -55,3 +57,29 @@ def test_folios_need_a_sequence(spark):
     rows = [(1, "bottom", p, str(p + 10)) for p in range(1, 6)] + [(2, "bottom", p, "7") for p in range(1, 6)]
     got = L.folio_sequences(spark.createDataFrame(rows, "doc_id int, band string, page int, text string"))
     assert {r.doc_id for r in got.collect()} == {1}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_rare_words_get_suggestions(spark, tmp_path):
+    rng = random.Random(4)
+    known = ["".join(rng.choice("aeiobcdl") for _ in range(rng.randint(4, 8))) + "a" for _ in range(40)]
+    rare = {w[:i] + rng.choice("aeiobcdl") + w[i + rng.randint(0, 1) :] for w in known for i in (1, 2)} | {"unlikely", "zzzzzzzzza"}
+    counts = {w: rng.randint(1, 19) for w in sorted(rare)} | {w: 20 + i for i, w in enumerate(known)}
+    text = " ".join(w for w, n in counts.items() for _ in range(n))
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.token: r.suggestion for r in catalogue.queries()["lexicon_suggestion_all"](spark, str(tmp_path)).collect()}
+    lexicon = [w for w, n in counts.items() if n >= 20]
+    want = {}
+    for token, n in counts.items():
+        near = [(d, len(w), -counts[w], w) for w in lexicon if n < 20 and (d := edits(token, w)) in (1, 2)]
+        if near:
+            want[token] = min(near)[3]
+    assert any(counts[t] < 8 for t in want) and got == want
