@@ -14,11 +14,16 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return df.withColumn(name, F.sum(F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
-def repeated_lines(lines: DataFrame, group: str, pages: Column, share: float = 0.6) -> DataFrame:
-    """Keys of lines that occur max(2, share x pages) times or more in a group: group, key, n. Occurrences count, not pages."""
+def repeated_lines(lines: DataFrame, group: str, pages: Column | DataFrame, share: float = 0.6) -> DataFrame:
+    """Keys of lines that occur max(2, share x pages) times or more in a group: group, key, n. Occurrences count, not pages.
+
+    pages: one number for all groups, or a row (group, pages) for each."""
     keyed = lines.withColumn("key", T.chrome_key(F.col("text"))).where(F.length("key") >= 2)
     counts = keyed.groupBy(group, "key").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") >= F.greatest(F.lit(2), F.ceil(pages * share)))
+    if isinstance(pages, DataFrame):
+        known = pages.select(F.col(group).alias("of"), "pages")
+        counts, pages = counts.join(known, counts[group].eqNullSafe(known["of"])), F.col("pages")
+    return counts.where(F.col("n") >= F.greatest(F.lit(2), F.ceil(pages * share))).select(group, "key", "n")
 
 
 def folio_sequences(lines: DataFrame) -> DataFrame:

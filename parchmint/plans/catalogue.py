@@ -140,6 +140,28 @@ def doc_without_chrome(spark, sf_dir):
     return lines.withColumn("key", T.chrome_key(F.col("text"))).join(keys, ["source", "key"], "left_anti").select("doc_id", "line_no", "text")
 
 
+_CHROME_BY_SHARE = f"""SELECT c.source, key, n FROM (SELECT source, {_key('text')} AS key, count(*) AS n FROM ({_LINES}) WHERE length({_key('text')}) >= 2 GROUP BY 1, 2) c
+JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY 1) p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= greatest(2, ceil(pages * CAST(0.06 AS DOUBLE)))"""
+
+
+def _keys_by_share(spark, sf_dir, lines):
+    pages = _t(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
+    return L.repeated_lines(lines, "source", pages, 0.06)
+
+
+@query(_CHROME_BY_SHARE)
+def doc_chrome_keys_by_share(spark, sf_dir):
+    """As doc_chrome_keys, with the share taken of each source's own documents and not of 50."""
+    return _keys_by_share(spark, sf_dir, _source_lines(spark, sf_dir))
+
+
+@query(f"WITH k AS ({_CHROME_BY_SHARE}) SELECT doc_id, line_no, text FROM ({_LINES}) l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = l.source AND k.key = {_key('l.text')})")
+def doc_without_chrome_by_share(spark, sf_dir):
+    lines = _source_lines(spark, sf_dir)
+    keys = _keys_by_share(spark, sf_dir, lines)
+    return lines.withColumn("key", T.chrome_key(F.col("text"))).join(keys, ["source", "key"], "left_anti").select("doc_id", "line_no", "text")
+
+
 @query(f"""WITH w AS (SELECT doc_id, string_split({_collapse("regexp_replace(text, '[0-9]+', '#', 'g')")}, ' ') AS ws FROM ({_LINES})),
 p AS (SELECT doc_id, CASE WHEN len(ws) > 3 AND length(array_to_string(ws[1:3], ' ')) >= 10 THEN array_to_string(ws[1:3], ' ') ELSE '' END AS prefix FROM w)
 SELECT prefix, count(*) AS n, count(DISTINCT doc_id) AS documents FROM p WHERE prefix <> '' GROUP BY prefix HAVING count(*) >= 3""")
