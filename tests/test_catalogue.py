@@ -93,3 +93,12 @@ def test_chrome_is_a_share_of_each_source(spark, tmp_path):
     assert sorted((r.source, r.key, r.n) for r in keys) == [("large", "six times", 6), ("small", "twice", 2)]
     left = [r.text for r in catalogue.queries()["doc_without_chrome_by_share"](spark, str(tmp_path)).collect()]
     assert sorted(set(left)) == sorted({f"body {a}{b}" for a in "abcdefghij" for b in "abcdefghij"} | {"five times", "once"}) and left.count("five times") == 5
+
+
+def test_short_needles_are_contained(spark, tmp_path):
+    texts = ["one two three four five six", "xone two three fourth", "", None, "two  three", "seven"]
+    needles = ["one two three four", "two three", "thre", "", "nothing here", "ne two three four five s", "two three four fi"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(needles)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.documents for r in catalogue.queries()["expectation_contains"](spark, str(tmp_path)).collect()}
+    assert got == {i: sum(t is not None and x in t for t in texts) for i, x in enumerate(needles)}
