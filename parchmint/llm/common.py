@@ -19,30 +19,44 @@ _stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset a local session, whose tasks run beside the driver, gets a temporary one; a cluster gets an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="parchmint-")
+        if have.isDefined():
+            found = have.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = tempfile.mkdtemp(prefix="parchmint-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext._conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; sweep() deletes what is written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/parchmint/{uuid.uuid4().hex}/{name}"
+    _stored.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df`, written as Parquet to the shared folder and read again. This cuts the lineage: a lost executor costs tasks, not the whole plan."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/parchmint/{uuid.uuid4().hex}/{name}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete everything that stored() wrote in this process. Call it once the results that depend on it are written."""
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete what this process wrote to the shared folder, but for the files that `keep` reads. Call it once no other result depends on it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+    inputs = keep.inputFiles() if keep is not None else []
+    held = [p for p in _stored if any(f"{p}/" in f for f in inputs)]
+    for name in [p for p in _stored if p not in held]:
+        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(conf).delete(path, True)
+    _stored[:] = held
 
 
 def collected_garbage(spark: SparkSession) -> None:
@@ -63,27 +77,51 @@ def with_row(df: DataFrame, **columns) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+#: A key with more rows than this, and more than a 2,000th of all, is joined by a broadcast: at most 4,000 keys are.
+HOT, HOT_SHARE = 1000, 2000
+
+
+def join_known(rows: DataFrame, known: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """`rows` joined with `known`, which has one row for each key and n, the number of `rows` with it; `total`: at least the sum of n.
+
+    Rows of a frequent key stay where they are and meet a broadcast of the frequent keys, whose number is bounded by the
+    share that makes a key frequent; the others are exchanged. So no task gets all rows of one key.
+    """
+    hot = max(HOT, total // HOT_SHARE)
+    if total <= hot:
+        return rows.join(known.drop("n"), keys)
+    often = known.where(F.col("n") > hot).drop("n")
+    rest = rows.join(F.broadcast(often.select(keys)), keys, "left_anti").join(known.where(F.col("n") <= hot).drop("n"), keys)
+    return rows.join(F.broadcast(often), keys).unionByName(rest)
+
+
+#: Steps after which components() gives up with an error; a graph needs about the square of its diameter's logarithm.
+STEPS = 99
+
+
+def components(edges: DataFrame, name: str = "components", steps: int = STEPS) -> DataFrame:
     """Connected components of `edges` (a, b: long, null-free). Returns node, component (smallest node), a row for each node with an edge.
 
     Alternates large-star and small-star steps until no edge changes. Every step only groups by a node and joins the
-    minimum back; counts of edges are all that reaches the driver.
+    minimum back, frequent nodes apart; counts of edges are all that reaches the driver. Raises RuntimeError after
+    `steps` steps rather than return parts of components.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    before = None
-    for step in range(1, 100):
+    before, total = None, edges.count()
+    least = lambda pairs: pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    for step in range(1, steps + 1):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = join_known(both, least(both).withColumn("m", F.least("m", "a")), ["a"], 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # of node a, all neighbours below it point to the smallest of them
         large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_star = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small_star = join_known(large, least(large), ["a"], 2 * total).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = stored(small_star, f"{name}-{step}")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, total = state, state[0]
+    else:
+        raise RuntimeError(f"components are not settled after {steps} steps")
     found = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = found.select(F.col("component").alias("node"), "component").distinct()
     return found.union(roots)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import components, mix, small, stored
 
-#: Hash tables; vectors that one task compares with each other at once.
-TABLES, BLOCK = 10, 2000
+#: Fewest hash tables; share of the pairs just at the limit that the tables are to find; vectors that one task compares with each other at once.
+TABLES, RECALL, BLOCK = 10, 0.99, 2000
+#: Bits of the sketch that travels before a vector does, and standard deviations allowed: a pair at the limit has more bits unlike with a chance below one in a million.
+BITS, DEVIATIONS = 128, 5
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -27,6 +30,54 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
+@lru_cache(maxsize=64)
+def tables_for(dimension: int, hashes: int, limit: float, recall: float = RECALL) -> int:
+    """Hash tables after which a pair whose cosine is `limit` shares a bucket with chance `recall` at least, TABLES or more.
+
+    A table finds the pair if all its hashes agree, or all but one in which the largest coordinate of one vector is the
+    second largest of the other. Both chances are measured for one hash, on 20,000 random pairs of the padded dimension.
+    """
+    d = max(2, 1 << max(0, dimension - 1).bit_length())
+    r = np.random.default_rng(5)
+    same = near = n = 0
+    while n < 20_000:
+        x, z = r.normal(size=(2, 500, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (x * z).sum(1, keepdims=True) * x
+        y = limit * x + math.sqrt(max(0.0, 1 - limit * limit)) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        found = []
+        for v in (x, y):
+            order = np.argsort(-np.abs(v), axis=1)[:, :2]
+            found.append(2 * order + (np.take_along_axis(v, order, 1) < 0))
+        a, b = found
+        equal = a[:, 0] == b[:, 0]
+        same, near, n = same + equal.sum(), near + (~equal & ((a[:, 0] == b[:, 1]) | (a[:, 1] == b[:, 0]))).sum(), n + len(x)
+    p, q = same / n, near / n
+    chance = min(p**hashes + hashes * p ** (hashes - 1) * q, 1 - 1e-9)
+    return max(TABLES, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+
+
+def sketches(x: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Signs of `bits` rotated coordinates of each vector, as bytes."""
+    n, d = x.shape
+    padded = np.zeros((n, max(2, 1 << max(0, d - 1).bit_length())))
+    padded[:, :d] = x
+    signs, i = [], 0
+    while sum(s.shape[1] for s in signs) < bits:
+        r, y = np.random.default_rng([6, i, d]), padded
+        for _ in range(3):
+            y = hadamard(y * r.choice([-1.0, 1.0], padded.shape[1]))
+        signs.append(y > 0)
+        i += 1
+    return np.packbits(np.concatenate(signs, axis=1)[:, :bits], axis=1)
+
+
+def unlike_bits(limit: float, bits: int = BITS) -> int:
+    """Most bits in which the sketches of two vectors with a cosine of `limit` or more differ, but for the chance that DEVIATIONS leaves."""
+    p = math.acos(max(-1.0, min(1.0, limit))) / math.pi
+    return min(bits, math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p))))
+
+
 def codes(x: np.ndarray, hashes: int, tables: int = TABLES) -> np.ndarray:
     """Buckets of unit vectors: [vector, table, probe], probe 0 their own bucket.
 
@@ -74,18 +125,60 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 
-def _bucketed(hashes: int):
+def _bucketed(hashes: int, tables: int):
+    """(id, h, v) -> the buckets of each vector, with its sketch and not the vector itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[int, list[int]] = {}
             raw = b.column(2).to_pylist()
             for i, v in enumerate(raw):
                 by.setdefault(len(v), []).append(i)
-            for at in by.values():
-                c = codes(units([raw[i] for i in at]), hashes).reshape(len(at), -1)
-                width, own = c.shape[1], np.arange(c.shape[1]) % (hashes + 1) == 0
-                take = pa.array(np.repeat(at, width))
-                yield pa.RecordBatch.from_arrays([pa.array(c.ravel().view(np.int64)), pa.array(np.tile(own, len(at))), *[b.column(i).take(take) for i in range(3)]], ["bucket", "own", "id", "n", "v"])
+            for every in by.values():
+                for start in range(0, len(every), 1024):
+                    at = every[start : start + 1024]
+                    x = units([raw[i] for i in at])
+                    c = codes(x, hashes, tables).reshape(len(at), -1)
+                    width, own = c.shape[1], np.arange(c.shape[1]) % (hashes + 1) == 0
+                    sketch = pa.array([s.tobytes() for s in sketches(x)], pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), width)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.ravel().view(np.int64)), pa.array(np.tile(own, len(at))), *[b.column(i).take(pa.array(np.repeat(at, width))) for i in (0, 1)], sketch], ["bucket", "own", "id", "h", "sketch"])
+
+    return run
+
+
+def _plausible(limit: float):
+    """Of the rows of each bucket (or pair of its blocks) those whose sketch is like that of another; at least one of two is in its own bucket."""
+    most = unlike_bits(limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches):
+            bucket, first, second, side, own = (t.column(i).to_numpy() for i in range(5))
+            s = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(t), -1)
+            new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in (bucket, first, second)])]
+            starts = np.flatnonzero(new)
+            ends = np.r_[starts[1:], len(t)]
+            end = np.repeat(ends, ends - starts)
+            keep, one, rows = np.zeros(len(t), bool), first == second, np.arange(len(t))
+            wide = (ends - starts) > FEW
+            rows = rows[~np.repeat(wide, ends - starts)]
+            k = 1
+            while len(rows := rows[rows + k < end[rows]]):
+                p = rows[(own[rows] | own[rows + k]) & (one[rows] | (side[rows] != side[rows + k]))]
+                p = p[np.bitwise_count(s[p] ^ s[p + k]).sum(1) <= most]
+                keep[p] = keep[p + k] = True
+                k += 1
+            for a, z in zip(starts[wide], ends[wide]):
+                for i in range(a, z, 64):
+                    j = slice(i, min(i + 64, z))
+                    like = sum(np.bitwise_count(s[j, None, w] ^ s[None, a:z, w]).astype(np.uint16) for w in range(s.shape[1])) <= most
+                    like &= own[j, None] | own[None, a:z]
+                    like[np.arange(j.stop - i), np.arange(i - a, j.stop - a)] = False
+                    if not one[a]:
+                        like &= side[j, None] != side[None, a:z]
+                    keep[j] |= like.any(1)
+            if keep.any():
+                kept = t.filter(pa.array(keep)).select([0, 1, 2, 3, 4, 5, 6])
+                yield from kept.combine_chunks().to_batches()
 
     return run
 
@@ -132,12 +225,12 @@ def _block_pairs(x: np.ndarray, own: np.ndarray, limit: float, side: np.ndarray,
     return tuple(np.concatenate(f) for f in zip(*found))
 
 
-def _settled(p: np.ndarray, q: np.ndarray, x: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+def _settled(p: np.ndarray, q: np.ndarray, x: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, hashes: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """links and root (smallest row that it is tied to) of each row, from those pairs whose first shared bucket is the one at hand."""
     need = np.unique(np.r_[p, q])
     place = np.empty(len(x), dtype=np.int64)
     place[need] = np.arange(len(need))
-    c, here = codes(x[need], hashes), bucket.view(np.uint64)
+    c, here = codes(x[need], hashes, tables), bucket.view(np.uint64)
     none, links, ties = np.iinfo(np.uint64).max, np.zeros(len(x), dtype=np.int64), []
     for at in range(0, len(p), 4096):
         a, b = p[at : at + 4096], q[at : at + 4096]
@@ -165,12 +258,12 @@ def _settled(p: np.ndarray, q: np.ndarray, x: np.ndarray, bucket: np.ndarray, si
 FEW = 48
 
 
-def _links(hashes: int, limit: float):
+def _links(hashes: int, limit: float, tables: int = TABLES):
     """For each bucket (or pair of its blocks): pairs of which at least one is in its own bucket and whose cosine reaches the limit, each counted in the first of the buckets that it shares."""
 
     def settle(t: pa.Table) -> Iterator[tuple]:
         bucket, first, second, side, own, key, n = (t.column(i).to_numpy() for i in range(7))
-        fresh = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in (bucket, first, second, key)])]
+        fresh = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in (bucket, first, second, key, t.column(8).to_numpy())])]
         own = np.logical_or.reduceat(own, np.flatnonzero(fresh))
         bucket, first, second, side, key, n = (k[fresh] for k in (bucket, first, second, side, key, n))
         starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in (bucket, first, second)])])
@@ -188,7 +281,7 @@ def _links(hashes: int, limit: float):
             else:
                 p, q = _block_pairs(x[at], own[at], limit, side[at], bool(first[at[0]] == second[at[0]]))
             if len(p):
-                links, root = _settled(p, q, x[at], np.ascontiguousarray(bucket[at]), n[at], hashes)
+                links, root = _settled(p, q, x[at], np.ascontiguousarray(bucket[at]), n[at], hashes, tables)
                 some = np.flatnonzero(links)
                 yield key[at][some], links[some], key[at][root[some]]
 
@@ -202,27 +295,35 @@ def _links(hashes: int, limit: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, limit: float = 0.9, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, limit: float = 0.9, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of `vectors` (vec_id, embedding; more columns are ignored), a row for each row.
 
     Equal vectors form a class that its smallest vec_id stands for, so copies cost nothing; a class's links count all copies. A bucket with more than
-    `block` classes is compared in pairs of blocks. Every pair that shares a bucket is checked in doubles in the task that
-    has the bucket; tasks return counts and one star for each component, never pairs. Vectors that are null, empty or zero, or hold a null or non-finite component,
-    link with nothing; vectors of different lengths don't link; rows without vec_id link with nothing; rows that repeat a vec_id count as copies.
+    `block` classes is compared in pairs of blocks. Buckets meet first by sketches of BITS bits; a vector travels only to those of its buckets
+    that hold a vector with a like sketch. Every pair found there is checked in doubles in the task that
+    has the bucket; tasks return counts and one star for each component, never pairs. The number of tables follows from the number of
+    hashes and the dimension, so that a pair just at the limit is found with chance `recall` however many vectors there are.
+
+    Vectors that are null, empty or zero, or hold a null or non-finite component,
+    link with nothing; vectors of different lengths don't link; rows without vec_id link with nothing; rows that repeat a vec_id count as copies if
+    their vectors are equal, and as vectors of their own under one id if not. An empty table gives no rows.
     """
     rows = stored(vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding")).mapInArrow(_pack, "vec_id long, v binary"), "vectors")
-    classes = stored(rows.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    classes = stored(rows.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("v")), "vector-classes")
     total = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("v")).alias("bytes")).first()
-    corners = 2 * max(2, 1 << max(0, (total["bytes"] or 8) // 8 - 1).bit_length())
+    dimension = max(1, (total["bytes"] or 8) // 8)
+    corners = 2 * max(2, 1 << max(0, dimension - 1).bit_length())
     hashes = max(1, math.ceil(math.log(max(2, total["n"]) / 16) / math.log(corners)))  # buckets grow with the table
-    dealt = classes.select("id", "n", "v").mapInArrow(_bucketed(hashes), "bucket long, own boolean, id long, n long, v binary")
-    # what no other vector may meet is left out before vectors are sent
-    counts = classes.select("id", "n", "v").mapInArrow(_bucketed(hashes), "bucket long, own boolean, id long, n long, v binary").groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("some"))
+    tables = tables_for(dimension, hashes, limit, recall)
+    dealt = classes.select("id", "h", "v").mapInArrow(_bucketed(hashes, tables), "bucket long, own boolean, id long, h long, sketch binary")
+    counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("some"))
     large = stored(counts.where(F.col("some") & (F.col("m") > block)).select("bucket", F.ceil(F.col("m") / block).cast("int").alias("parts")), "large-buckets")
     split = dealt.join(small(large), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(F.col("block"), i).alias("i"), F.greatest(F.col("block"), i).alias("j")))
-    spread = split.select("bucket", F.explode(pairs).alias("p"), "block", "own", "id", "n", "v").select("bucket", "p.i", "p.j", "block", "own", "id", "n", "v")
-    found = stored(spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(_links(hashes, limit), "id long, links long, root long"), "vector-links")
+    spread = split.select("bucket", F.explode(pairs).alias("p"), "block", "own", "id", "h", "sketch").select("bucket", "p.i", "p.j", "block", "own", "id", "h", "sketch")
+    like = stored(spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_plausible(limit), "bucket long, i int, j int, block int, own boolean, id long, h long"), "like-vectors")
+    sent = like.join(classes.hint("merge"), ["id", "h"]).select("bucket", "i", "j", "block", "own", "id", "n", "v", "h")
+    found = stored(sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id", "h").mapInArrow(_links(hashes, limit, tables), "id long, links long, root long"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = components(found.select(F.col("root").alias("a"), F.col("id").alias("b")), "vector-components").toDF("id", "component")
     known = classes.join(links, "id", "left").join(component, "id", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))

@@ -135,17 +135,20 @@ def test_links_of_large_and_split_buckets(parts):
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 16))
     x[:150] = x[0] + r.normal(size=(150, 16)) * 0.03
-    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([1] * 400), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "n", "v"])
-    dealt = pa.Table.from_batches(embeddings._bucketed(1)([batch])).to_pylist()
+    raw = [v.tobytes() for v in x]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(raw, pa.binary())], ["id", "h", "v"])
+    dealt = pa.Table.from_batches(embeddings._bucketed(1, 10)([batch])).to_pylist()
     rows = []
     for d in dealt:
         block = d["id"] % parts
-        rows += [(d["bucket"], min(block, i), max(block, i), d["id"], block, d["own"], d["n"], d["v"]) for i in range(parts)]
-    rows.sort(key=lambda row: row[:4])
-    assert {row[:4] for row in rows} and len({row[:4] for row in rows}) == len(rows)
-    columns = [[row[i] for row in rows] for i in (0, 1, 2, 4, 5, 3, 6, 7)]
+        rows += [(d["bucket"], min(block, i), max(block, i), block, d["own"], d["id"], d["h"], d["sketch"]) for i in range(parts)]
+    rows.sort(key=lambda row: (*row[:3], row[5]))
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-    table = pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=list("abcdefgh"))
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list("abcdefgh"))
+    like = pa.Table.from_batches(list(embeddings._plausible(0.9)(iter(table.to_batches(max_chunksize=97)))))
+    assert 0 < len(like) < len(table)
+    rest = [pa.array([1] * len(like)), pa.array([raw[i] for i in like.column(5).to_pylist()], pa.binary()), like.column(6)]
+    table = pa.table([*like.columns[:6], *rest], names=list("abcdefghi"))
     links, tied = np.zeros(400, dtype=int), set()
     for out in embeddings._links(1, 0.9)(iter(table.to_batches(max_chunksize=97))):
         for key, n, root in zip(*[out.column(i).to_pylist() for i in range(3)]):
@@ -158,6 +161,44 @@ def test_links_of_large_and_split_buckets(parts):
     assert (links[:150] == 149).all() and all(close[a, b] or a == b or max(a, b) < 150 for a, b in tied)
 
 
+@pytest.mark.parametrize("dimension", [64, 256])
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4])
+def test_recall_at_the_limit_does_not_fall_with_hashes(dimension, hashes):
+    """Pairs whose cosine is 0.9 exactly share a bucket (one of them by its own) and have like sketches."""
+    r = np.random.default_rng(dimension + hashes)
+    x, z = r.normal(size=(2, 400, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(1, keepdims=True) * x
+    y = 0.9 * x + 0.19**0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    tables = embeddings.tables_for(dimension, hashes, 0.9)
+    a, b = embeddings.codes(x, hashes, tables), embeddings.codes(y, hashes, tables)
+    same = a[:, :, :, None] == b[:, :, None, :]
+    same[:, :, 1:, 1:] = False
+    assert same.any((1, 2, 3)).mean() >= 0.965
+    unlike = np.bitwise_count(embeddings.sketches(x) ^ embeddings.sketches(y)).sum(1)
+    assert (unlike <= embeddings.unlike_bits(0.9)).all()
+
+
+def test_near_vectors_of_odd_tables(spark):
+    schema = "id int, vec_id long, embedding array<double>, bucket string, v int"
+    assert embeddings.near_vectors(spark.createDataFrame([], schema)).count() == 0
+    one = [1.0, 0.5, 0.25, 2.0]
+    rows = [(1, i, one, "b", 0) for i in range(500)] + [(1, None, one, "b", 0), (1, 7, [-1.0, 0.5, 0.0, 9.0], "b", 0), (1, 700, [x * 3 for x in one], "b", 0)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows) and all(r.n_links == 500 and r.component_id == 0 for r in got if r.vec_id not in (None, 7))
+    assert [(r.n_links, r.component_id) for r in got if r.vec_id is None] == [(0, None)]
+
+
+def test_components_of_hubs_chains_and_too_few_steps(spark):
+    edges = [(0, i) for i in range(1, 5001)] + [(9000, i) for i in range(5001, 9000)] + [(i, i + 1) for i in range(20000, 20060)] + [(3, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in common.components(df).collect()}
+    want = {i: 0 for i in range(5001)} | {i: 5001 for i in range(5001, 9001)} | {i: 20000 for i in range(20000, 20061)}
+    assert got == want
+    with pytest.raises(RuntimeError):
+        common.components(df, steps=1)
+
+
 def test_near_duplicates(docs, none, texts):
     rows = minhash.near_duplicates(docs, k=4).collect()
     got = {r.doc_id: r for r in rows}
