@@ -2,7 +2,8 @@
 
 Equal strings of LENGTH bytes have equal smallest GRAM-byte hashes, so the places where a text's smallest hash stays the
 same, a context, meet all other places with an equal string under that hash. Contexts are combined by fingerprint; hashes under which
-different contexts meet go, context by context, to shards, and each shard's transform tells which of their strings are equal.
+different contexts meet go to shards, and each shard's transform tells which of their strings are equal: context by context, or, under a hash with
+more contexts than a shard holds, string by string, dealt by a second hash of the whole string.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import collected_garbage, mix, stored
 
-#: Bytes of a string that counts as repeated; bytes under a hash; most starts in a context; bytes of a shard; contexts of one hash with more bytes are compared string by string.
+#: Bytes of a string that counts as repeated; bytes under a hash; most starts in a context; bytes of a shard; contexts of one hash with more bytes are dealt to several shards.
 LENGTH, GRAM, STARTS, SHARD, LARGE = 100, 20, 256, 1 << 19, 1 << 21
+#: Bytes of text for each task of an exchange, as a power of two.
+PARTITION = 24
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -234,7 +237,7 @@ def _raw(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-SPANS, ASKED, CONTEXTS, PARTS, STRINGS, TEXT = range(6)
+SPANS, ASKED, CONTEXTS, PARTS, TEXT = range(5)
 
 
 def _first_of(key: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +287,7 @@ def _groups(batches: Iterator[pa.RecordBatch]):
     return groupby(rows(), key=lambda r: r[0])
 
 
-def _meet(length: int, doc_buckets: int):
+def _meet(length: int, doc_buckets: int, full: int, large: int):
     """Contexts of a bucket -> spans of repeated contexts, and which contexts to compare in which shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,18 +314,22 @@ def _meet(length: int, doc_buckets: int):
                 size = np.add.reduceat(abs(n), edge)
                 compare = (count > 1) | np.logical_or.reduceat(n < 0, edge)
                 n = abs(n)
-                shard = np.cumsum(np.where(compare & (size <= LARGE), size, 0)) // SHARD
-                shard = np.where(size > LARGE, -1, shard + (np.int64(bucket) << 24))
+                shard = np.cumsum(np.where(compare & (size <= large), size, 0)) // full
+                # negative: minus the number of shards that the strings of this hash are dealt to
+                strings = np.add.reduceat(n - length + 1, edge)
+                shard = np.where(size > large, -1 - strings * length // full, shard + (np.int64(bucket) << 24))
                 keep = np.repeat(compare, count)
-                shard = np.repeat(shard, count)[keep]
-                out += _deal(_of_doc(d[keep], doc_buckets), ASKED, d[keep], s[keep], n[keep], shard)
+                hot = size > large
+                lead = np.where(hot, h[edge], 0)
+                shard, lead = np.repeat(shard, count)[keep], np.repeat(lead, count)[keep]
+                out += _deal(_of_doc(d[keep], doc_buckets), ASKED, d[keep], s[keep], n[keep], shard, lead)
             yield _batch(out)
 
     return run
 
 
-def _cut(length: int, buckets: int):
-    """Texts and what is asked of them -> the contexts' bytes for the shards; of contexts that are compared string by string, the strings' fingerprints."""
+def _cut(length: int):
+    """Texts and what is asked of them -> the contexts' bytes for the shards; contexts under a frequent hash are taken apart into their strings, dealt to its shards by a hash of the string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -336,15 +343,15 @@ def _cut(length: int, buckets: int):
             held.clear()
 
         for _, rows in _groups(batches):
-            asked, done, out = [], None, []
+            asked, done = [], None
             for _, kind, key, data in rows:
                 if kind == ASKED:
                     asked.append(data)
                     continue
                 if done is None:
-                    d, s, n, shard = _unpack(asked, 4)
+                    d, s, n, shard, lead = _unpack(asked, 5)
                     o = np.lexsort((s, d))
-                    d, s, n, shard = d[o], s[o], n[o], shard[o]
+                    d, s, n, shard, lead = d[o], s[o], n[o], shard[o], lead[o]
                     done = set()
                 a, z = np.searchsorted(d, [key, key], side="left")[0], np.searchsorted(d, key, side="right")
                 if a == z or key in done:  # a row that repeats a doc_id
@@ -360,38 +367,32 @@ def _cut(length: int, buckets: int):
                         raw = np.frombuffer(data, np.uint8)
                         rolling = rolling or Rolling(raw)
                         at = np.arange(s[i], s[i] + n[i] - length + 1)
-                        own = rolling.some(at, at + length)
-                        half = rolling.some(at, at + length // 2)
-                        out += _deal(-1 - (own % np.uint64(buckets)).astype(np.int64), STRINGS, own, half, np.full(len(at), key, np.int64), at)
-                if weight > 1 << 25 or len(out) > 2000:
-                    yield _batch(out + list(flush()))
-                    out, weight = [], 0
-            yield _batch(out)
+                        own = rolling.some(at, at + length) % np.uint64(-shard[i])
+                        for a_, to in zip(at.tolist(), (mix(np.full(len(at), lead[i], np.int64).view(np.uint64) ^ mix(own, 14), 15) >> np.uint64(1)).astype(np.int64).tolist()):
+                            held.setdefault(-1 - to, []).append((key, a_, length, data[a_ : a_ + length]))
+                        weight += len(at) * (length + 200)
+                if weight > 1 << 25:
+                    yield _batch(list(flush()))
+                    weight = 0
         yield _batch(list(flush()))
 
     return run
 
 
 def _compare(length: int, doc_buckets: int):
+    """The parts of a shard -> spans of their strings that start earlier in another part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for _, rows in _groups(batches):
-            parts, docs, starts, blobs = [], [], [], []
-            for _, kind, m, data in rows:
-                if kind == STRINGS:
-                    blobs.append(data)
-                    continue
+            parts, docs, starts = [], [], []
+            for _, _, m, data in rows:
                 d, s, n = np.frombuffer(data[: 24 * m], np.int64).reshape(3, m)
                 docs.append(d)
                 starts.append(s)
                 body = np.frombuffer(data[24 * m :], np.uint8)
                 parts += np.split(body, np.cumsum(n)[:-1])
-            if blobs:
-                f, g, d, s = _unpack(blobs, 4)
-                o, _, later = _first_of([f, g], d, s)
-                d, s = d[o][later], s[o][later]
-            else:
-                d, s = later_strings(parts, np.concatenate(docs), np.concatenate(starts), length)
+            d, s = later_strings(parts, np.concatenate(docs), np.concatenate(starts), length)
             spans = united(d, s, np.full(len(d), length, np.int64))
             yield _batch(list(_deal(_of_doc(spans[0], doc_buckets), SPANS, *spans)))
 
@@ -432,7 +433,7 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _beside(rows: DataFrame, docs: DataFrame, doc_buckets: int) -> DataFrame:
+def _beside(rows: DataFrame, docs: DataFrame, doc_buckets: int, parts: int) -> DataFrame:
     """Packed rows of documents' buckets, and after them the texts of the same bucket, in one partition."""
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,29 +444,32 @@ def _beside(rows: DataFrame, docs: DataFrame, doc_buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_of_doc(ids, doc_buckets)), pa.array(np.full(n, TEXT, np.int32)), b.column(0), b.column(1)], ["bucket", "kind", "id", "data"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tag, _SCHEMA)
-    return rows.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return rows.unionByName(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
+def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False, shard: int = SHARD, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, or null unless `with_bytes`) of `docs` (doc_id, text; more columns are ignored), a row for each row.
 
     Removed is each byte that a string of `length` bytes covers which also starts earlier: in a smaller doc_id, or earlier in
     the same text. Null and empty texts have no bytes. Rows without doc_id lose nothing and are compared with nothing; rows that
-    repeat a doc_id are one document. 64-bit hashes and fingerprints together stand for equal contexts.
+    repeat a doc_id are one document. 64-bit hashes and fingerprints together stand for equal contexts; strings of contexts that differ are compared by their bytes.
+    `shard`: bytes of a shard, about; a hash with contexts of more than `large` bytes is dealt to several.
     """
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(64, (total["bytes"] or 0) >> 23)
     doc_buckets = max(64, (total["bytes"] or 0) >> 21)
+    # tasks grow in number with the bytes, so that none holds more than a few buckets
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, (total["bytes"] or 0) >> PARTITION))
     named = docs.where("doc_id IS NOT NULL")
     found = named.mapInArrow(_find(length, buckets, doc_buckets), _SCHEMA)
-    met = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(length, doc_buckets), _SCHEMA), "contexts")
+    met = stored(found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(length, doc_buckets, shard, large), _SCHEMA), "contexts")
     collected_garbage(spark)
-    asked = _beside(met.where(F.col("kind") == ASKED), named, doc_buckets).mapInArrow(_cut(length, buckets), _SCHEMA)
-    more = stored(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(length, doc_buckets), _SCHEMA), "spans")
+    asked = _beside(met.where(F.col("kind") == ASKED), named, doc_buckets, parts).mapInArrow(_cut(length), _SCHEMA)
+    more = stored(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(length, doc_buckets), _SCHEMA), "spans")
     collected_garbage(spark)
-    return _beside(met.where(F.col("kind") == SPANS).unionByName(more), docs, doc_buckets).mapInArrow(_remove(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return _beside(met.where(F.col("kind") == SPANS).unionByName(more), docs, doc_buckets, parts).mapInArrow(_remove(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
