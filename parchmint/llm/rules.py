@@ -26,6 +26,8 @@ RULES = {
 }
 #: Cutoffs in each grid; share of a stratum's good documents that all rules together may reject; chance that any of the bounds fails.
 GRID, RISK, DELTA = 128, 0.05, 0.05
+#: Shares of good documents above a cutoff by which the joint rule sets are ordered, from loose to strict.
+LEVELS = [0.0, *(0.001 * 1.25**i for i in range(19))]
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_capitals", "n_same_words"]
 
@@ -120,56 +122,96 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def choose(counts: list[tuple[int, int, int]], n_good: int, tests: int, risk: float, delta: float = DELTA) -> int | None:
-    """Step of the grid for a rule in a stratum; None: no cutoff is safe and useful.
+def path(counts: dict[str, dict[int, tuple[int, int]]]) -> list[dict[str, int]]:
+    """Joint rule sets in a fixed order, each as strict as the one before or stricter in every rule: rule -> step; a document breaks a rule above its step.
 
-    `counts`: (step, good above, bad above), from the loosest step to the strictest. A step is safe if the exact
-    binomial test rejects, at level delta / tests, that good documents lie above it with a chance over `risk`
-    (Bonferroni over strata and rules), and all looser steps are safe: a fixed order of nested tests needs no
-    correction within itself. Of the safe ones, those that reject most bad documents less good ones are taken; of
-    several, the middle one.
+    `counts`: rule -> step -> (good, bad) of the designing half of a stratum. At a level, a rule's step is the lowest above which
+    no larger share of the good documents lies, if at least twice that share of the bad ones does. At level 0 there
+    is a gap between good and bad documents; the first set takes its upper end, the second its middle, the third its lower end.
     """
-    safe = []
-    for step, good, bad in counts:
-        if binomial_tail(good, n_good, risk) > delta / tests:
+    sets: list[dict[str, int]] = [{} for _ in range(len(LEVELS) + 2)]
+    for rule, by in counts.items():
+        n_good, n_bad = (sum(v[i] for v in by.values()) for i in (0, 1))
+        above, good, bad = [], 0, 0
+        for step in range(GRID - 1, -1, -1):
+            good, bad = good + by.get(step + 1, (0, 0))[0], bad + by.get(step + 1, (0, 0))[1]
+            above.append((step, good, bad))
+        last = GRID
+        for i, level in enumerate(LEVELS):
+            fits = [(step, g, b) for step, g, b in above if b and g <= level * n_good and b * n_good >= 2 * g * n_bad]
+            low = min([step for step, _, _ in fits], default=GRID)
+            if not i:
+                upper = max([step for step, _, b in fits if b == max(x[2] for x in fits)], default=GRID)
+                sets[0][rule], sets[1][rule] = upper, (upper + low + 1) // 2
+            last = min(last, low)
+            sets[i + 2][rule] = last
+    return sets
+
+
+def choose(steps: dict[str, list[tuple[int, int]]], n_good: dict[str, int], risk: float = RISK, delta: float = DELTA) -> dict[str, int | None]:
+    """Stratum -> number of the rule set to use (None: no set is safe and useful).
+
+    `steps`: stratum -> (good, bad) documents of the testing half that each set of the path rejects; `n_good`: good documents of that
+    half. In a stratum the sets are tested in their order, by the exact binomial test of "it rejects good documents with a chance over `risk`",
+    up to the first that isn't proven safe: a fixed order needs no correction within itself. The level `delta` is split over the strata;
+    a stratum whose sets are all safe passes its part on to the others (Holm's step for a fixed order in each stratum), so
+    all bounds hold together with a chance of 1 - delta. Of the safe sets the one that rejects most bad documents less good ones is used, of several the first.
+    """
+    part = {s: delta / len(steps) for s in steps}
+    reached = dict.fromkeys(steps, 0)
+    done: set[str] = set()
+    while True:
+        for s in part.keys() - done:
+            while reached[s] < len(steps[s]) and binomial_tail(steps[s][reached[s]][0], n_good[s], risk) <= part[s]:
+                reached[s] += 1
+        new = {s for s in part.keys() - done if reached[s] == len(steps[s])}
+        done |= new
+        rest = part.keys() - done
+        if not new or not rest:
             break
-        if bad > good:
-            safe.append((bad - good, step))
-    if not safe:
-        return None
-    best = max(s for s, _ in safe)
-    steps = sorted(step for s, step in safe if s == best)
-    return steps[len(steps) // 2]
+        freed = sum(part[s] for s in new) / len(rest)
+        part |= {s: part[s] + freed for s in rest}
+    found: dict[str, int | None] = {}
+    for s, every in steps.items():
+        gain = [bad - good for good, bad in every[: reached[s]]]
+        found[s] = gain.index(max(gain)) if gain and max(gain) > 0 else None
+    return found
 
 
 def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row for each stratum that has labels: stratum and a cutoff (or null) for each rule.
 
-    Labelled rows are counted by stratum, rule, step and label; only these counts (strata x rules x steps) are looked at
-    one group at a time. Labels that are null are left out; a document labelled both 0 and 1 counts as 0.
+    One half of the labelled documents, by a hash of the id, orders the joint rule sets of its stratum; the other half tests them.
+    Both halves are counted in the tasks (stratum, rule, step; then stratum, set); the driver sees only these counts, whose number is bounded by
+    language codes x rules x steps. Labels that are null are left out; a document labelled both 0 and 1 counts as 0; of
+    rows that repeat a doc_id one is counted, the one with the smallest counts.
     """
+    spark = features.sparkSession
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    steps = [F.struct(F.lit(r).alias("rule"), F.least(F.ceil(F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)) / F.lit(top) * GRID), F.lit(GRID)).cast("int").alias("step")) for r, (a, b, top) in RULES.items()]
-    known = features.where("NOT base_failed").dropDuplicates(["doc_id"]).join(marked, "doc_id").select("stratum", "quality", F.explode(F.array(*steps)).alias("s"))
-    counts = known.groupBy("stratum", F.col("s.rule").alias("rule"), F.col("s.step").alias("step")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
-    counts = stored(counts, "rule-counts")
-    tests = max(1, counts.select("stratum").distinct().count()) * len(RULES)
-
-    def decide(pdf):
-        import pandas as pd
-
-        by = pdf.groupby("step")[["good", "bad"]].sum()
-        found, good, bad = [], 0, 0
-        for step in range(GRID - 1, -1, -1):  # a value above step / GRID has a step above it
-            if step + 1 in by.index:
-                good, bad = good + int(by.good[step + 1]), bad + int(by.bad[step + 1])
-            found.append((step, good, bad))
-        at = choose(found, int(by.good.sum()), tests, risk / len(RULES), delta)
-        top = RULES[pdf.rule.iloc[0]][2]
-        return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "rule": [pdf.rule.iloc[0]], "cutoff": [None if at is None else at / GRID * top]})
-
-    decided = counts.groupBy("stratum", "rule").applyInPandas(decide, "stratum string, rule string, cutoff double")
-    return decided.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    step = lambda a, b, top: F.least(F.ceil(F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)) / F.lit(top) * GRID), F.lit(GRID)).cast("int")
+    one = features.where("NOT base_failed").groupBy("doc_id").agg(F.min(F.struct("stratum", *COUNTS)).alias("f")).select("doc_id", "f.*")
+    known = one.join(marked, "doc_id").select("stratum", (F.col("quality") == 1).alias("good"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("designs"), *[step(*x).alias(r) for r, x in RULES.items()])
+    known = stored(known, "labelled")
+    each = known.where("designs").select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("s"))
+    counts: dict[str, dict] = {r["stratum"]: {x: {} for x in RULES} for r in known.select("stratum").distinct().collect()}
+    for r in each.groupBy("stratum", "s.rule", "s.step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect():
+        counts[r["stratum"]][r["rule"]][r["step"]] = (r["good"], r["bad"])
+    schema = "stratum string, sets array<struct<" + ", ".join(f"{r}:int" for r in RULES) + ">>"
+    paths = {s: path(c) for s, c in counts.items()}
+    table = spark.createDataFrame([(s, [tuple(x[r] for r in RULES) for x in p]) for s, p in paths.items()], schema)
+    broken = lambda x: F.greatest(*[(F.col(r) > x[r]).cast("int") for r in RULES]) == 1
+    first = known.where("NOT designs").join(F.broadcast(table), "stratum").select("stratum", "good", F.array_position(F.transform("sets", broken), True).alias("first"))
+    sets = len(LEVELS) + 2
+    hits = {s: [[0, 0] for _ in range(sets)] for s in paths}
+    n_good = dict.fromkeys(paths, 0)
+    for r in first.groupBy("stratum", "first").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect():
+        n_good[r["stratum"]] += r["good"]
+        for i in range(r["first"] - 1, sets) if r["first"] else ():
+            hits[r["stratum"]][i][0] += r["good"]
+            hits[r["stratum"]][i][1] += r["bad"]
+    used = choose({s: [tuple(x) for x in h] for s, h in hits.items()}, n_good, risk, delta)
+    rows = [(s, *[None if used[s] is None or paths[s][used[s]][r] >= GRID else paths[s][used[s]][r] / GRID * RULES[r][2] for r in RULES]) for s in paths]
+    return spark.createDataFrame(rows, "stratum string, " + ", ".join(f"cut_{r} double" for r in RULES))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -177,11 +219,12 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
     base_failed: fewer than 50 words, or more than half of the words lie in windows of three words that occur again. The other documents are
     kept unless they break a rule's cutoff in their stratum. Strata without labels, or with too few to prove a bound, reject nothing. Null texts count as empty and
-    fail the base rules; rows that repeat a doc_id are judged each by its own text. The table of cutoffs has a row for each language code at most (under 20,000).
+    fail the base rules, whole texts are measured whatever their length; rows that repeat a doc_id are judged each by its own text. An empty table gives no rows, and other columns
+    of `docs` are not read. The table of cutoffs has a row for each language code at most (under 20,000).
     """
     features = measured(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     features = stored(features, "features")
-    cuts = stored(cutoffs(features, labels.select("doc_id", "quality"), risk, delta), "cutoffs")
+    cuts = cutoffs(features, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), risk, delta)
     broken = F.lit(False)
     for r, (a, b, _) in RULES.items():
         broken = broken | F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)) > F.col(f"cut_{r}"), F.lit(False))
