@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +21,8 @@ class Shape:
     filters: int = 32
 
 
-#: Fitting reads at most this many labelled documents of each class, and of each at most this many chunks, evenly spaced over the whole text.
-FIT_DOCUMENTS, FIT_CHUNKS = 3000, 12
+#: Fitting takes the whole texts of at most this many labelled documents of each class, and of so many of them that their chunks hold at most this many bytes together.
+FIT_DOCUMENTS, FIT_BYTES = 3000, 10 << 20
 
 
 def chunked(raw: bytes, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -122,34 +120,37 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), documents: int = FIT_DOCUMENTS, chunks: int = FIT_CHUNKS) -> Net | float:
+def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), documents: int = FIT_DOCUMENTS, size: int = FIT_BYTES) -> Net | float:
     """A net fitted on labelled documents that aren't held out; a constant where a class is missing.
 
-    The sample: of each class the `documents` ids with the smallest hash. Texts are cut into chunks in the tasks, so the
-    driver gets at most 2 x documents x chunks x chunk bytes, and no long text.
+    The sample of rows: of each class the documents with the smallest hash of the id, `documents` at most, and only the
+    first of them whose whole texts fit in `size` bytes of chunks together (the first one always does). Texts are measured in the tasks before any is
+    fetched, so the driver gets at most 2 x `size` bytes or one text of each class. Of rows that repeat a doc_id the one with the smallest text is taken; a document labelled both 0 and 1
+    counts as 0. Null texts count as empty.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).collect()]
     if len({r["quality"] for r in chosen}) < 2:
         return float(chosen[0]["quality"]) if chosen else 0.5
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in chosen], "doc_id long, quality int")
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for key, label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                x, size = chunked(_bytes(text.as_py()), shape)
-                pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), chunks)).round().astype(int))
-                rows.append((key, label, np.ascontiguousarray(x[pick]).tobytes(), size[pick].tolist()))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], ["doc_id", "quality", "chunks", "sizes"])
-
-    got = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").mapInArrow(sample, "doc_id long, quality int, chunks binary, sizes array<long>").toPandas()
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([(r["doc_id"], r["quality"], i) for i, r in enumerate(chosen)], "doc_id long, quality int, place int")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    mine = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(ids), "doc_id")
+    sizes = mine.groupBy("doc_id", "quality", "place").agg(F.min(F.struct(F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h"))).alias("least")).select("doc_id", "quality", "place", "least.*").collect()
+    taken, full = [], {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: r["place"]):
+        bytes_ = max(1, -(-(r["bytes"] - (shape.chunk - shape.step)) // shape.step)) * shape.chunk
+        if not full[r["quality"]] or full[r["quality"]] + bytes_ <= size:
+            taken.append((r["doc_id"], r["bytes"], r["h"]))
+            full[r["quality"]] += bytes_
+        else:
+            full[r["quality"]] = size  # the first that doesn't fit ends the sample of its class
+    wanted = spark.createDataFrame(taken, "doc_id long, bytes int, h long")
+    got = mine.select("*", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h")).join(F.broadcast(wanted), ["doc_id", "bytes", "h"]).select("doc_id", "quality", "text").toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     if got.quality.nunique() < 2:
         return float(got.quality.iloc[0]) if len(got) else 0.5
-    data = [(np.frombuffer(c, np.uint8).reshape(-1, shape.chunk), np.asarray(s)) for c, s in zip(got.chunks, got.sizes)]
-    return Net(shape).fit(data, got.quality.to_numpy())
+    return Net(shape).fit([chunked(_bytes(x), shape) for x in got.text], got.quality.to_numpy())
 
 
 def score_column(model: Net | float):
@@ -169,7 +170,11 @@ def scored(docs: DataFrame, model: Net | float) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled documents that aren't held out, score all. An empty table gives no rows."""
+    """doc_id, held_out, score, predicted of `docs` (doc_id, text): fit on the labelled documents that aren't held out, score all.
+
+    A row for each row, by its own text; null texts count as empty and have a score, as empty ones do. A text's score is that of
+    all its chunks, however long it is. An empty table gives no rows; other columns are not read.
+    """
     return scored(docs, train(docs, labels))
 
 
