@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import REMEMBERED, REMEMBERED_BYTES, memory, stored
+from .common import REMEMBERED, REMEMBERED_BYTES, memory, stored, with_row
 
 LIMIT = 4096
 #: A word of its own that texts hardly hold.
@@ -138,16 +138,23 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int,
     return steps
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT, salts: int = 64) -> DataFrame:
+#: Pieces that one task ranks, about.
+RANKED = 500_000
+
+
+def pack(pieces: DataFrame, limit: int = LIMIT, salts: int | None = None) -> DataFrame:
     """`pieces` (doc_id, piece, length and more) with sequence_id and offset.
 
     The histogram (at most `limit` rows) goes to the driver and the plan comes back as a table of at most one row for each
     length. A piece's rank within its length is its rank within (length, salt) plus the counts of the salts before,
-    so no task ranks all pieces of a frequent length. Equal ids and pieces (repeated rows) are ranked in any order.
+    so no task ranks all pieces of a frequent length; the salts grow with the number of pieces. Equal ids and pieces (repeated rows) are ranked in any order;
+    null ids are ranked first. Other columns of `pieces` stay as they are, but for sequence_id and offset, which are replaced.
     `pieces` should be stored: it is read three times.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = salts or max(16, pieces.count() // RANKED)
+    salt = F.pmod(F.xxhash64(pieces["doc_id"], pieces["piece"]), F.lit(salts)).cast("int")
+    salted = with_row(pieces, doc_id=pieces["doc_id"], piece=pieces["piece"], length=pieces["length"], salt=salt)
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts, "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -157,19 +164,24 @@ def pack(pieces: DataFrame, limit: int = LIMIT, salts: int = 64) -> DataFrame:
     planned = spark.createDataFrame([(k, v) for k, v in steps.items()], "length long, steps array<struct<rank:long,n:long,first:long,each:long,at:long>>")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     local = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    # both sides have a fixed bound: lengths x salts, and lengths
-    ranked = local.join(F.broadcast(before), ["length", "salt"]).withColumn("r", F.col("r") + F.col("before"))
+    # the window has dealt and sorted the pieces as the merge join needs them, so only the counts are exchanged
+    ranked = local.join(before.hint("merge"), ["length", "salt"]).withColumn("r", F.col("r") + F.col("before"))
     step = F.element_at(F.filter("steps", lambda s: (s["rank"] <= F.col("r")) & (F.col("r") < s["rank"] + s["n"])), 1)
+    # the plan has a fixed bound: a row for each length up to `limit`
     placed = ranked.join(F.broadcast(planned), "length").withColumn("s", step).withColumn("k", F.col("r") - F.col("s.rank"))
     return placed.select(
-        *pieces.columns,
+        *[F.col("row")[c].alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")],
         (F.col("s.first") + F.floor(F.col("k") / F.col("s.each"))).cast("long").alias("sequence_id"),
         (F.col("s.at") + F.col("k") % F.col("s.each") * F.col("length")).cast("long").alias("offset"),
     )
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = 1) -> DataFrame:
-    """Cut and pack `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Cut and pack `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts give one piece that holds the end id alone. Every row is packed, rows that repeat a doc_id too, each by its own text. An
+    empty table gives no rows; other columns are not read.
+    """
     return pack(stored(cut(docs, path, limit, end_id), "pieces"), limit)
 
 
