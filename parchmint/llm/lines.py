@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import join_known, small, stored
 
 #: Lines under the rolling hash; one place in DIVISOR is a boundary; least and most lines of a chunk.
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 16
@@ -50,32 +50,44 @@ def pairs(lines: list[bytes]) -> list[tuple[int, int]]:
     return [(i, j + 1) for i, j in zip(full, full[1:])]
 
 
-def _emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and bytes of what pairs consist of: lines with a word, alone and with the blank lines before them."""
+def _hash(raw: bytes, bits: int) -> int:
     import xxhash
 
-    for b in batches:
-        seen = set()
-        for text in b.column(1):
-            lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
-            for start, end in pairs(lines):
-                seen.update((lines[start], b"\n".join(lines[start + 1 : end])))
-        raw = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["h", "raw"])
+    return (xxhash.xxh3_64_intdigest(raw) >> (64 - bits)) - (1 << 63)
 
 
-def _emit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs by the hashes of their first line and of the rest."""
-    import xxhash
+def _emit_lines(bits: int):
+    """Hash and bytes of what pairs consist of: lines with a word, alone and with the blank lines before them."""
 
-    f = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
-    for b in batches:
-        rows = []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-            lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
-            rows += [(key, i, f(lines[start]), f(b"\n".join(lines[start + 1 : end]))) for i, (start, end) in enumerate(pairs(lines))]
-        cols = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "pair", "a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = set()
+            for text in b.column(1):
+                lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+                for start, end in pairs(lines):
+                    seen.update((lines[start], b"\n".join(lines[start + 1 : end])))
+            raw = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([_hash(x, bits) for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["h", "raw"])
+
+    return run
+
+
+def _emit_pairs(bits: int, whole: bool):
+    """Pairs by the hashes of their first line and of the rest; with their bytes if `whole`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+                lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+                for i, (start, end) in enumerate(pairs(lines)):
+                    rest = b"\n".join(lines[start + 1 : end])
+                    rows.append((key, i, _hash(lines[start], bits), _hash(rest, bits), *([lines[start] + b"\n" + rest] if whole else [])))
+            names = ["doc_id", "pair", "a", "b", *(["raw"] if whole else [])]
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,24 +116,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4))]], ["row", "kept", "n_lines", "n_chunks", "chunks_removed", "lines_removed"])
 
 
-def repeated_pairs(docs: DataFrame) -> DataFrame:
+def _again(places: DataFrame, keys: list[str], total: int, name: str) -> DataFrame:
+    """doc_id, pair of the places whose keys also stand earlier. A key with many places is met by a broadcast, so no task gets them all."""
+    firsts = places.groupBy(*keys).agg(F.min(F.struct("doc_id", "pair")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = join_known(places, stored(firsts, name), keys, total)
+    return met.where("doc_id <> first.doc_id OR pair <> first.pair").select("doc_id", "pair")
+
+
+def repeated_pairs(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, drop (numbers of the pairs to remove) of documents (doc_id, text) that hold a pair of lines that also occurs earlier: in a smaller doc_id, or earlier in the same text.
 
-    Lines travel once with their bytes, to find hashes that stand for two contents; pairs with such a hash remove nothing, and of all others equal hashes
-    are equal bytes. Equal lines and pairs are combined in each task first, so a frequent one travels once from each.
+    Lines travel once with their bytes, to find hashes that stand for two contents. Pairs with such a hash are then compared by
+    their bytes; of all others equal hashes are equal bytes. Equal lines and pairs are combined in each task first, so a frequent one travels once from each.
+    `bits`: length of the hashes (tests shorten it).
     """
     docs = docs.where("doc_id IS NOT NULL")
-    content = docs.mapInArrow(_emit_lines, "h long, raw binary").distinct()
+    content = docs.mapInArrow(_emit_lines(bits), "h long, raw binary").distinct()
     unsure = stored(content.groupBy("h").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("h"), "unsure-lines")
-    places = docs.mapInArrow(_emit_pairs, "doc_id long, pair int, a long, b long")
-    firsts = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pair")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
-    for c in ("a", "b"):
-        firsts = firsts.join(small(unsure.withColumnRenamed("h", c)), c, "left_anti")
-    again = places.join(stored(firsts.select("a", "b", "first"), "pairs"), ["a", "b"]).where("doc_id <> first.doc_id OR pair <> first.pair")
+    places = docs.mapInArrow(_emit_pairs(bits, False), "doc_id long, pair int, a long, b long")
+    total = places.agg(F.count(F.lit(1))).first()[0]
+    if unsure.isEmpty():
+        return _again(places, ["a", "b"], total, "pairs").groupBy("doc_id").agg(F.collect_set("pair").alias("drop"))
+    either = small(unsure.withColumnRenamed("h", "a")), small(unsure.withColumnRenamed("h", "b"))
+    sure = places.join(either[0], "a", "left_anti").join(either[1], "b", "left_anti")
+    whole = docs.mapInArrow(_emit_pairs(bits, True), "doc_id long, pair int, a long, b long, raw binary")
+    doubtful = whole.join(either[0], "a", "left_semi").unionByName(whole.join(either[0], "a", "left_anti").join(either[1], "b", "left_semi"))
+    again = _again(sure, ["a", "b"], total, "pairs").unionByName(_again(doubtful.drop("a", "b"), ["raw"], total, "doubtful-pairs"))
     return again.groupBy("doc_id").agg(F.collect_set("pair").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, bits: int = 64) -> DataFrame:
     """`row` (struct of all columns), kept (the text without repeated passages), n_lines, n_chunks (0 where nothing is removed), chunks_removed (those that go whole), lines_removed.
 
     Two neighbouring lines that occur earlier go, so a run of two or more goes whole wherever chunks end; where all lines of a chunk go, its blank lines go too.
@@ -130,7 +154,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     earlier that stays. Blank lines don't count as lines of a pair. An empty table gives no rows.
     """
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    drop = stored(repeated_pairs(plain), "drops").withColumnRenamed("doc_id", "id")
+    drop = stored(repeated_pairs(plain, bits), "drops").withColumnRenamed("doc_id", "id")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("key"))
     # texts meet their drops by the same merge join at every size, and travel once
     joined = rows.join(drop.hint("merge"), F.col("key") == F.col("id"), "left").select("row", F.col("row.text").cast("string").alias("whole"), "drop")
