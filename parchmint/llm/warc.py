@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import join_known, new_folder
 
 CRLF = "\r\n"
+#: Records that one copy of a payload is read for; a payload of more records is read in parts.
+PART = 1000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -50,8 +50,8 @@ def record_header(date: str) -> Column:
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write `pages` (page_id, url, html; more columns are ignored) as path/payloads and path/headers.
 
-    payloads: address (SHA-256), payload, first_page; one row for each distinct payload. headers: a row for each page:
-    page_id, address, header (the record's exact bytes up to the payload). A null html is an empty payload. Of pages
+    payloads: address (SHA-256), payload, first_page, n (its records); one row for each distinct payload. headers: a row for each page:
+    page_id, address, part (of the payload's records, PART in each, about), header (the record's exact bytes up to the payload). A null html is an empty payload. Of pages
     with equal payloads of at least `min_bytes` bytes, those with the smallest page_id are responses and the others
     revisit it; null ids come after all others; rows that repeat the smallest id are responses as well. Smaller
     payloads are always responses. An empty table gives an empty archive.
@@ -59,13 +59,16 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = keyed.withColumn("address", F.sha2("payload", 256))
     # equal digests are combined in each task first, so a frequent payload travels once from each
-    kept = keyed.groupBy("address").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_page"))
+    kept = keyed.groupBy("address").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
     kept.write.parquet(f"{path}/payloads")
-    first = pages.sparkSession.read.parquet(f"{path}/payloads").select("address", "first_page")
+    written = pages.sparkSession.read.parquet(f"{path}/payloads")
+    first = written.select("address", "first_page", F.col("n").alias("records"), "n")
+    total = written.agg(F.sum("n")).first()[0] or 0
     facts = keyed.select("page_id", "url", "address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     revisit = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
-    typed = facts.join(first, "address").withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_page")))
-    typed.select("page_id", "address", record_header(date).alias("header")).write.parquet(f"{path}/headers")
+    typed = join_known(facts, first, ["address"], total).withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_page")))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("records") / PART)).cast("int")
+    typed.select("page_id", "address", part.alias("part"), record_header(date).alias("header")).write.parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -73,9 +76,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Every payload is checked against its address, and each header's digest against its payload; a difference stops the read.
     """
-    payloads = spark.read.parquet(f"{path}/payloads").select("address", "payload")
-    payloads = payloads.select("address", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its address")).cast("binary")).alias("payload"))
-    records = spark.read.parquet(f"{path}/headers").join(payloads, "address")
+    # a payload goes to each part of its records, so a frequent one doesn't bring all of them to one task
+    parts = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / PART) - 1).cast("int"))).alias("part")
+    payloads = spark.read.parquet(f"{path}/payloads")
+    payloads = payloads.select("address", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its address")).cast("binary")).alias("payload"), "n").select("address", "payload", parts)
+    records = spark.read.parquet(f"{path}/headers").join(payloads, ["address", "part"])
     own = F.when(F.decode("header", "UTF-8").contains(f"WARC-Type: revisit{CRLF}"), F.lit("").cast("binary")).otherwise(F.col("payload"))
     return records.select("page_id", "header", "payload", F.concat("header", own, F.lit(CRLF * 2).cast("binary")).alias("record"))
 
@@ -94,7 +99,7 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/parchmint/{uuid.uuid4().hex}/archive"
+    path = new_folder(spark, "archive")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     return parse_records(read_archive(spark, path))
 
