@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -36,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; sweep() deletes what is written there."""
     path = f"{shared_dir(spark).rstrip('/')}/parchmint/{uuid.uuid4().hex}/{name}"
+    if not _stored:
+        atexit.unregister(_sweep_at_exit)
+        atexit.register(_sweep_at_exit)
     _stored.append(path)
     return path
 
@@ -48,15 +52,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete what this process wrote to the shared folder, but for the files that `keep` reads. Call it once no other result depends on it."""
+def written() -> int:
+    """How many folders this process has in use; for sweep(since)."""
+    return len(_stored)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete what this process wrote to the shared folder since there were `since` folders, but for the files that `keep` reads. Call it once no other result depends on it; at the end of the process it runs by itself."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     inputs = keep.inputFiles() if keep is not None else []
-    held = [p for p in _stored if any(f"{p}/" in f for f in inputs)]
-    for name in [p for p in _stored if p not in held]:
+    mine = _stored[since:]
+    held = [p for p in mine if any(f"{p}/" in f for f in inputs)]
+    for name in [p for p in mine if p not in held]:
         path = jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(conf).delete(path, True)
-    _stored[:] = held
+    _stored[since:] = held
+
+
+def _sweep_at_exit() -> None:
+    import contextlib
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may have ended before the process
+            sweep(spark)
 
 
 def collected_garbage(spark: SparkSession) -> None:

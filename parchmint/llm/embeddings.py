@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import components, mix, small, stored
 
 #: Fewest hash tables; share of the pairs just at the limit that the tables are to find; vectors that one task compares with each other at once.
-TABLES, RECALL, BLOCK = 10, 0.99, 2000
+TABLES, RECALL, BLOCK = 10, 0.99, 500
 #: Bits of the sketch that travels before a vector does, and standard deviations allowed: a pair at the limit has more bits unlike with a chance below one in a million.
 BITS, DEVIATIONS = 128, 5
 
