@@ -43,9 +43,11 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
-def test_suffix_dedup_is_exact(docs, none, texts):
+@pytest.mark.parametrize("large", [suffixes.LARGE, 100])
+def test_suffix_dedup_is_exact(docs, none, texts, large):
+    """With hashes whose contexts fit in one shard, and with all of them dealt to shards of 300 bytes."""
     length, seen = 20, set()
-    got = by_id(suffixes.without_repeated_bytes(docs, length, with_bytes=True))
+    got = by_id(suffixes.without_repeated_bytes(docs, length, with_bytes=True, shard=suffixes.SHARD if large > 100 else 300, large=large))
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         mask = np.zeros(len(raw), bool)
@@ -75,17 +77,67 @@ def test_interval_expansion_against_brute_force():
             assert set(zip(d.tolist(), s.tolist())) == want
 
 
-def test_rules(spark, docs, none, texts):
-    assert rules.measures("a b c a b c\n\na b c a b c")[:5] == (12, 12, 0, 1, 12)
-    assert rules.measures(None)[0] == 0
-    assert abs(rules.binomial_tail(3, 20, 0.2) - 0.41145) < 1e-4
+def plain_measures(text):
+    import re
+
+    text = text or ""
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(found, found[1:], found[2:]))
+    inside = {j for i in range(len(found) - 2) if windows[tuple(found[i : i + 3])] > 1 for j in range(i, i + 3)}
+    split = text.split("\n")
+    same = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in split[:i] for i, x in enumerate(split))
+    return len(found), sum(map(len, found)), sum(text.count(c) for c in "#*$%&|<>"), same, len(inside)
+
+
+def test_measures_against_brute_force(texts):
+    rng = random.Random(9)
+    odd = ["", " ", "\n\n", "é é é é", "\x0b\x1c \x85", "😀 #*$%&|<> 😀", "a b c " * 5000, "\u00a0x\u00a0y"]
+    some = ["".join(rng.choice(["a", "b", " ", " ", "\n", "#", "é", "\t"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for t in [*texts, *odd, *some]:
+        assert rules.measures(t)[:5] == plain_measures(t)
+
+
+def test_binomial_bounds():
+    from math import comb
+
+    for k, n, p in ((3, 20, 0.2), (0, 50, 0.05), (12, 400, 0.05), (49, 50, 0.5), (5, 5, 0.1)):
+        assert abs(rules.binomial_tail(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-9
     assert abs(rules.upper_bound(0, 100, 0.05) - (1 - 0.05**0.01)) < 1e-9
-    assert rules.choose([(9, 0, 5), (8, 0, 5), (7, 0, 5), (6, 400, 9)], 1000, 1, 0.01) == 8
-    assert rules.choose([(9, 0, 5)], 10, 1, 0.01) is None
+
+
+def test_choice_of_rule_sets():
+    paths = rules.path({"marks": {0: (90, 5), 3: (10, 0), 50: (0, 40), 60: (0, 5)}, "capitals": {0: (100, 50)}})
+    assert [p["capitals"] for p in paths] == [rules.GRID] * len(paths)
+    marks = [p["marks"] for p in paths]
+    assert marks[:3] == [49, 26, 3] and marks == sorted(marks, reverse=True)
+    # 200 good documents: 3 rejected are proven to be under 5 % at level 0.05 (tail 0.009), but not at 0.005
+    assert rules.choose({"a": [(0, 9), (3, 20), (9, 50)]}, {"a": 200}, 0.05, 0.05) == {"a": 1}
+    assert rules.choose({"a": [(0, 9), (3, 20), (9, 50)]}, {"a": 200}, 0.05, 0.005) == {"a": 0}
+    assert rules.choose({"a": [(0, 5)]}, {"a": 10}, 0.05, 0.05) == {"a": None}
+    # b's level is 0.01 at first; a's sets are all safe and pass theirs on, which proves b's second set (tail 0.009 of 0.02)
+    assert rules.choose({"a": [(0, 5)], "b": [(0, 1), (3, 20)]}, {"a": 500, "b": 200}, 0.05, 0.016) == {"a": 0, "b": 1}
+    assert rules.choose({"a": [(400, 5)], "b": [(0, 1), (3, 20)]}, {"a": 500, "b": 200}, 0.05, 0.016) == {"a": None, "b": 0}
+
+
+def test_rules(spark, docs, none):
     labels = spark.createDataFrame([(3, 1), (4, None), (None, 0)], "doc_id long, quality int")
     got = rules.judge(docs, labels).collect()
     assert len(got) == docs.count() and {r.doc_id for r in got if r.base_failed} >= {0, 1, 2}
     assert rules.judge(none, labels).count() == 0
+    assert rules.judge(docs, labels.limit(0)).count() == docs.count()
+    rng = random.Random(5)
+    rows, marked = [], []
+    for i in range(1500):
+        bad = i % 5 == 0
+        text = words(rng, 60 + i % 30)
+        rows.append((i, "\n".join(w + "!!" if bad else w for w in text.split()) if bad else text, "de" if i % 3 else "en", 1.0, "x"))
+        marked.append((i, int(not bad)))
+    rows += [(7, "shorter text", "en", 1.0, "x")]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, cut_marks double, stratum string")
+    seen = rules.judge(many, spark.createDataFrame(marked, "doc_id long, quality int")).collect()
+    assert len(seen) == len(rows)
+    assert all(r.kept == (not r.base_failed and r.doc_id % 5 > 0) for r in seen)
+    assert {r.stratum: r.cut_marks for r in seen}.keys() == {"de", "en"}
 
 
 def test_lookup_table():
@@ -97,8 +149,15 @@ def test_lookup_table():
         sharding.lookup_table(["a"], 10)
 
 
-def test_place(docs, none):
+def test_place(docs, none, spark):
     assert sharding.place(docs).count() == docs.count() and sharding.place(none).count() == 0
+    df = spark.createDataFrame([(None, 1, 2), (None, 3, 4), (5, 1, 2), (5, 1, 2)], "doc_id long, slot int, shard int")
+    got = sharding.place(df).collect()
+    table = sharding.lookup_table(sharding.shard_names())
+    for r in got:
+        at = int(hashlib.md5(str(r.row["doc_id"] if r.row["doc_id"] is not None else "null").encode()).hexdigest()[:15], 16) % sharding.SLOTS
+        assert (r.slot, r.shard) == (at, table[at])
+    assert sorted((str(r.row["doc_id"]), r.row["slot"]) for r in got) == [("5", 1), ("5", 1), ("None", 1), ("None", 3)]
 
 
 def test_classifier_learns(spark, none):
@@ -111,6 +170,34 @@ def test_classifier_learns(spark, none):
     assert len(got) == 403 and all(0 <= r.score <= 1 for r in got)
     assert sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.95
     assert classifier.classify(none, labels).count() == 0
+    odd = docs.limit(40).unionByName(spark.createDataFrame([(7, "a second text"), (2000, "long " * 60_000)], "doc_id long, text string")).selectExpr("*", "1 AS score", "2 AS quality")
+    assert classifier.classify(odd, labels).count() == 42
+    assert isinstance(classifier.train(docs, labels, size=5000), classifier.Net)
+
+
+def test_scores_against_a_plain_forward_pass():
+    """Loops over chunks, filters and places; a small shape, texts around the edges of a chunk, and a long one."""
+    shape = classifier.Shape(chunk=32, step=24, width=3, stride=2, filters=5)
+    net = classifier.Net(shape)
+    r = np.random.default_rng(3)
+    net.p["bias"], net.p["slope"] = r.normal(size=5).astype(np.float32), r.normal(size=5).astype(np.float32)
+    for n in (0, 1, 2, 3, 24, 31, 32, 33, 56, 57, 700):
+        raw = bytes(r.integers(1, 256, n, dtype=np.uint8))
+        logits, start = [], 0
+        while True:
+            part = raw[start : start + shape.chunk]
+            padded = part + bytes(shape.chunk - len(part))
+            logit = float(net.p["base"][0])
+            for f in range(shape.filters):
+                places = [at for at in range(0, shape.chunk - shape.width + 1, shape.stride) if len(part) == shape.chunk or at < max(len(part) - shape.width + 1, 1)]
+                best = max(sum(float(net.p["filters"][k, padded[at + k], f]) for k in range(shape.width)) for at in places)
+                best += float(net.p["bias"][f]) + float(net.p["slope"][f]) * np.log((len(part) + 8) / shape.chunk) / 4
+                logit += max(best, 0.0) * float(net.p["out"][f])
+            logits.append(logit)
+            if start + shape.chunk >= len(raw):
+                break
+            start += shape.step
+        assert abs(net.score(raw) - 1 / (1 + np.exp(-np.mean(logits)))) < 1e-4
 
 
 def test_near_vectors_against_brute_force(spark):
@@ -199,15 +286,53 @@ def test_components_of_hubs_chains_and_too_few_steps(spark):
         common.components(df, steps=1)
 
 
-def test_near_duplicates(docs, none, texts):
+def plain_components(texts, k, percent=80):
+    """Set sizes and components by comparing all pairs of sets."""
+    import re
+
+    sets = {}
+    for i, t in texts.items():
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return {i: (len(sets[i]), root[i]) for i in sets}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Chains of edits, copies, ties at exactly 80 %, short, empty and very long texts; whole families and families in blocks."""
+    rng = random.Random(11)
+    texts, n = {0: None, 1: "", 2: " \n ", 3: "one two", 4: "ONE two", 5: "one  two", 6: "one two three four"}, 10
+    for _ in range(25):
+        base = words(rng, rng.randint(6, 150)).split()
+        for _ in range(rng.randint(1, 7)):
+            texts[n] = " ".join(base)
+            n += 1
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                base = list(base)
+                base[rng.randrange(len(base))] = f"new{rng.random()}"
+    # 9 windows of four words, 8 of them shared, so 8 of 10; one more edit gives 7 of 11
+    tie = [f"t{i}" for i in range(12)]
+    texts |= {n: " ".join(tie), n + 1: " ".join([*tie[:-1], "other"]), n + 2: " ".join(["other", *tie[1:-1], "third"]), n + 3: "long " + words(rng, 20_000)}
+    want = plain_components(texts, 4)
+    assert want[n + 1][1] == n and want[n + 2][1] == n + 2
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (minhash.BLOCK, 150):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, k=4, block=block).collect()} == want
+
+
+def test_near_duplicates_of_odd_rows(docs, none, texts):
     rows = minhash.near_duplicates(docs, k=4).collect()
-    got = {r.doc_id: r for r in rows}
-    assert len(rows) == docs.count() and got[0].n_shingles == got[1].n_shingles == 0 and got[2].n_shingles == 1
-    assert {got[i].component_id for i in (3, 4, 5, 11)} == {3, 11} or {got[i].component_id for i in (3, 4, 5)} == {3}
-    assert got[0].kept and got[1].kept and got[6].kept and not got[4].kept
-    blocks = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=4, block=50).collect()}
-    assert blocks == {r.doc_id: r.component_id for r in rows}
+    want = plain_components(dict(enumerate(texts)), 4)
+    assert len(rows) == docs.count() and {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+    assert all(r.kept == (r.component_id == r.doc_id) for r in rows)
     assert minhash.near_duplicates(none).count() == 0
+    clash = docs.selectExpr("*", "1 AS family", "2 AS rep", "3 AS block", "4 AS content")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(clash, k=4).collect()} == {i: w[1] for i, w in want.items()}
 
 
 def test_sketch_fills_and_estimates():
@@ -220,17 +345,53 @@ def test_sketch_fills_and_estimates():
     assert 0.6 < (a == b).mean() < 0.95
 
 
+def plain_best_fit(lengths, limit):
+    """Sequences that best fit, longest first, opens."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(room) if r >= n]
+        if fits:
+            i = min(fits, key=lambda i: room[i])
+            room[i] -= n
+        else:
+            room.append(limit - n)
+    return len(room)
+
+
+def test_plan_opens_as_many_sequences_as_best_fit_document_by_document():
+    rng = random.Random(12)
+    for limit in (10, 64):
+        for _ in range(60):
+            lengths = [rng.randint(1, limit) for _ in range(rng.randint(1, 120))]
+            steps = packing.plan(dict(Counter(lengths)), limit)
+            used = Counter()
+            for length, _, n, first, each, at in steps:
+                for k in range(n):
+                    used[first + k // each] += length
+                    assert at + (k % each + 1) * length <= limit
+            assert len(used) == plain_best_fit(lengths, limit) and sum(used.values()) == sum(lengths) and max(used.values()) <= limit
+
+
 def test_packing(docs, none, texts):
+    import struct
+    import zlib
+
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    got = packing.pack_documents(docs, limit=64).collect()
-    by = {}
+    clash = docs.selectExpr("*", "1 AS salt", "2 AS r", "3 AS before", "4 AS steps", "5 AS s", "6 AS k", "7 AS length")
+    got = packing.pack_documents(clash, limit=64).collect()
+    assert sum(r.doc_id == 6 for r in got) == 2 * len({r.piece for r in got if r.doc_id == 6})  # a repeated row
+    by, lengths = {}, []
     for r in got:
         by.setdefault(r.doc_id, {})[r.piece] = r
+        lengths.append(r.length)
     for i, x in enumerate(texts):
         ids = t.encode(x or "", add_special_tokens=False).ids + [1]
-        assert sum(r.length for r in by[i].values()) == len(ids) and len(by[i]) == -(-len(ids) // 64)
+        assert sorted(by[i]) == list(range(-(-len(ids) // 64)))
+        for p, r in by[i].items():
+            part = ids[64 * p : 64 * p + 64]
+            assert (r.start, r.length, r.ids_crc32) == (64 * p, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
     places = {}
     for r in got:
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -240,9 +401,25 @@ def test_packing(docs, none, texts):
             assert at == end
             end += n
         assert end <= 64
+    assert len(places) == plain_best_fit(lengths, 64)
     assert packing.pack_documents(none).count() == 0
 
 
+def test_pack_keeps_other_columns_and_ranks_with_any_salts(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 20), i, rng.choice([3, 3, 3, 9, 16]), "x", i, 0) for i in range(400)] + [(None, 0, 3, "null", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, salt string, r int, offset int")
+    for salts in (1, 7):
+        got = packing.pack(df, 16, salts).collect()
+        assert sorted((str(r.doc_id), r.piece, r.length, r.salt, r.r) for r in got) == sorted((str(a), b, c, d, e) for a, b, c, d, e, _ in rows)
+        taken = Counter()
+        for r in got:
+            for i in range(r.offset, r.offset + r.length):
+                taken[r.sequence_id, i] += 1
+        assert max(taken.values()) == 1 and max(i for _, i in taken) < 16
+        assert len({r.sequence_id for r in got}) == plain_best_fit([r[2] for r in rows], 16)
+
+
 def test_line_dedup(spark, none):
     passage = [f"shared line number {i} of it" for i in range(60)]
     rows = [(1, "\n".join(["own a", *passage, "own b"])), (2, "\n".join(["other", "start", *passage, "and end"])), (3, None), (4, ""), (5, "single"), (5, "single"), (None, "\n".join(passage))]
@@ -255,7 +432,9 @@ def test_line_dedup(spark, none):
     assert lines.without_repeats(none).count() == 0
 
 
-def test_line_dedup_finds_every_run(spark):
+@pytest.mark.parametrize("bits", [64, 6])
+def test_line_dedup_finds_every_run(spark, bits):
+    """Against brute force; with 6 bits nearly every hash stands for several lines, and their bytes decide."""
     rng = random.Random(8)
     line = lambda: words(rng, 12)
     texts = {}
@@ -265,7 +444,7 @@ def test_line_dedup_finds_every_run(spark):
             texts[2 * n + i] = "\n".join([line() for _ in range(rng.randint(0, 9))] + run + [line() for _ in range(rng.randint(0, 9))])
     few = [line() for _ in range(4)] + ["", " "]
     texts |= {100 + i: "\n".join(rng.choice(few) for _ in range(rng.randint(1, 9))) for i in range(60)}
-    got = by_id(lines.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).selectExpr("row.doc_id", "kept", "lines_removed"))
+    got = by_id(lines.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bits).selectExpr("row.doc_id", "kept", "lines_removed"))
     seen, stay = set(), set()
     for k, text in sorted(texts.items()):
         all_lines, gone = text.split("\n"), set()
@@ -283,6 +462,28 @@ def test_line_dedup_finds_every_run(spark):
             assert got[k].lines_removed == (k // 2 if k % 2 else 0)
 
 
+def test_line_dedup_of_odd_rows(spark):
+    """An empty line inside a repeated passage, the same passage twice in a text and in equal texts, a repeated doc_id with another text, clashing names."""
+    twice = "first line\n\nsecond line\nmiddle\nfirst line\n\nsecond line"
+    rows = [(1, twice, 1, "a"), (2, twice, 1, "a"), (2, "first line\n\nsecond line", 1, "a"), (3, "second line\nfirst line", 1, "a"), (4, "\n\n", 1, "a"), (5, "\n\n", 1, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pair int, drop string")
+    got = sorted((r.row["doc_id"], r.kept) for r in lines.dedup_lines(df).collect())
+    # all pairs of document 2 occur in document 1, and the last pair of document 1 occurs in it already; blank lines stay unless both neighbours go
+    assert got[0][1] == "first line\n\nsecond line\nmiddle"
+    assert {k for i, k in got if i == 2} == {""} and got[3][1] == "second line\nfirst line" and got[4][1] == got[5][1] == "\n\n"
+
+
+def test_archive_of_a_frequent_payload(spark, tmp_path):
+    """More records than one copy of a payload is read for, and a frequent address beside others."""
+    rows = [(i, "u", "same" if i % 10 else f"own {i}") for i in range(4000)]
+    path = f"{tmp_path}/c"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    assert spark.read.parquet(f"{path}/headers").select("part").distinct().count() > 1
+    got = {r.page_id: r for r in warc.parse_records(warc.read_archive(spark, path)).collect()}
+    assert len(got) == 4000
+    assert all(got[i].record_type == ("response" if i % 10 == 0 or i == 1 else "revisit") and got[i].refers_to == (1 if i % 10 and i > 1 else None) for i in got)
+
+
 def test_archive_round_trip(spark, tmp_path):
     rows = [(3, "http://a/\r\nX: y", "<p>é</p>", 1), (1, None, "<p>é</p>", 1), (2, "u", None, 1), (5, "u", "", 1), (None, "n", "<p>é</p>", 1), (3, "http://a/\r\nX: y", "<p>é</p>", 1), (7, "v", "b" * 100_000, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
@@ -299,7 +500,7 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, f"{tmp_path}/b").count() == 0
 
 
-def test_mix(docs, none):
+def test_mix(docs, none, spark):
     plan = mixing.plan_mix(docs)
     rows = plan.collect()
     assert len(rows) == docs.count() and all(0 <= r.copies <= 2 for r in rows)
@@ -309,6 +510,25 @@ def test_mix(docs, none):
     assert mixing.mix(docs).columns == docs.columns
     assert sorted(map(str, plan.collect())) == sorted(map(str, rows))
     assert mixing.plan_mix(none).count() == 0
+    alone = spark.createDataFrame([(1, "a " * 100_000, None), (2, None, None), (3, "b", None)], "doc_id long, text string, source string")
+    got = mixing.plan_mix(alone).collect()
+    assert {r.target for r in got} == {1.5 * 100_001} and {r["size"] for r in got} == {100_000, 0, 1}
+
+
+def test_mix_comes_near_its_targets(spark, monkeypatch):
+    """With ranges of one source and cells of few rows as well: every row's copies are the same."""
+    rng = random.Random(6)
+    rows = [(i, "w " * int(20 * 1.01 ** rng.randint(0, 400)), f"s{min(rng.randint(0, 12), 6)}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = {r.row["doc_id"]: r for r in mixing.plan_mix(df).collect()}
+    for s in {r[2] for r in rows}:
+        mine = [r for r in once.values() if r.row["source"] == s]
+        taken = sum(r["size"] * r.copies for r in mine)
+        assert abs(taken - mine[0].target) <= 2 * max(r["size"] for r in mine)
+    monkeypatch.setattr(mixing, "RANKED", 2)
+    monkeypatch.setattr(mixing, "CELL", 100)
+    again = {r.row["doc_id"]: r for r in mixing.plan_mix(df).collect()}
+    assert all(again[i].copies == r.copies and again[i].target == r.target for i, r in once.items())
 
 
 def test_ids_of_words_equal_the_tokenizers_with_any_memory():
