@@ -458,7 +458,7 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_bytes: bo
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    buckets = max(64, (total["bytes"] or 0) >> 23)
+    buckets = max(64, (total["bytes"] or 0) >> 21)
     doc_buckets = max(64, (total["bytes"] or 0) >> 21)
     # tasks grow in number with the bytes, so that none holds more than a few buckets
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, (total["bytes"] or 0) >> PARTITION))
