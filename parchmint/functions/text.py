@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as web browsers define it; Java's \s knows only the ASCII part.
+# White space as web browsers define it (Java's \s knows only the ASCII part), amounts, labels of totals.
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 MONEY = r"^\$[\t\n\x0B\f\r ]?-?[0-9,]+\.[0-9]{2}$"
 BARE_MONEY = r"^-?[0-9,]+\.[0-9]{2}$"
@@ -80,6 +80,19 @@ def column_letters(index: Column) -> Column:
     )
 
 
+def is_date_format(code: Column) -> Column:
+    """Whether a spreadsheet's format code holds a part of a date or time outside quotes, escapes and brackets."""
+    return F.regexp_replace(code, r'"[^"]*"|\\.|\[[^\]]*\]', "").rlike("(?i)[ymdhs]")
+
+
+def trimmed_number(n: Column) -> Column:
+    """A double with twelve significant digits and no trailing zeros; -0 is 0."""
+    digits = F.floor(F.log10(F.abs(n))).cast("int")
+    text = F.format_number(F.abs(n), 11)
+    plain = F.regexp_replace(F.regexp_replace(F.round(n.cast("decimal(38,18)"), 11).cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(n == 0, "0").when(digits.between(-1, 11) & text.isNotNull(), plain).otherwise(F.regexp_replace(F.format_string("%.11e", n), r"\.?0*e", "e"))
+
+
 def column_number(ref: Column) -> Column:
     """0-based column of a cell reference such as AB12; 0 without letters."""
     letters = F.regexp_extract(ref, "^([A-Z]+)", 1)
@@ -87,11 +100,13 @@ def column_number(ref: Column) -> Column:
     return F.greatest(n - 1, F.lit(0))
 
 
-def serial_date(serial: Column, date1904: bool = False) -> Column:
-    """Spreadsheet serial as yyyy-MM-dd, with the time where it has one."""
+def serial_date(serial: Column, date1904: bool = False, code: Column | None = None) -> Column:
+    """Spreadsheet serial as yyyy-MM-dd, HH:mm:ss or both, as the format code says; without one the date, with the time where it has one."""
     epoch = -2082844800000 if date1904 else -2209161600000
     at = F.timestamp_millis((F.lit(epoch) + F.floor(serial * 86400000 + 0.5)).cast("long"))
-    return F.when(serial % 1 != 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+    code = F.regexp_replace(F.coalesce(code, F.lit("")), '"[^"]*"', "") if code is not None else F.lit("")
+    date, time = (code == "") | code.rlike("(?i)[ymd]"), code.rlike("(?i)[hs]") | (serial % 1 != 0)
+    return F.when(date & time, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(time, F.date_format(at, "HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd"))
 
 
 def pdf_date(raw: Column) -> Column:
@@ -118,18 +133,6 @@ def brackets_balanced(c: Column) -> Column:
     return F.aggregate(F.split(F.regexp_replace(c, r"[^()\[\]]", ""), ""), start, step, lambda a: a["ok"] & (a["r"] == 0) & (a["s"] == 0))
 
 
-def heading_rejection(c: Column) -> Column:
-    """Why a recognised line can't be a heading: the name of the first rule that it breaks, else null."""
-    t = F.trim(c)
-    return (
-        F.when(t == "", "empty")
-        .when(t.rlike(r"^[(\[]"), "opens-mid-parenthetical")
-        .when(~brackets_balanced(t), "unbalanced-brackets")
-        .when(t.rlike(r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}\b"), "leading-date")
-        .when(t.rlike("[()]") & t.rlike("[A-Z]") & (t == F.upper(t)) & (F.length(t) <= 48), "uppercase-descriptor-fragment")
-    )
-
-
 def dictionary_candidate(token: Column, sentence_initial: Column) -> Column:
     """Whether a dictionary can judge a token: letters only, four or more, not all capitals, no inner capital, a vowel, and a capital only at a sentence's start."""
     return token.rlike("^[A-Za-z][a-z]{3,}$") & token.rlike("(?i)[aeiouy]") & (token.rlike("^[a-z]") | sentence_initial)
@@ -139,6 +142,63 @@ def longest_tick_run(c: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
 
 
+def cue_clock(time: Column) -> Column:
+    """A cue's time (mm:ss or hh:mm:ss, with a fraction) as hh:mm:ss."""
+    parts = F.split(F.regexp_replace(time, "[.,][0-9]+$", ""), ":")
+    three = F.when(F.size(parts) == 2, F.concat(F.array(F.lit("00")), parts)).otherwise(parts)
+    return F.array_join(F.transform(three, lambda p: F.lpad(p, 2, "0")), ":")
+
+
+def clock_seconds(clock: Column) -> Column:
+    return F.aggregate(F.split(clock, ":"), F.lit(0), lambda a, p: a * 60 + p.cast("int"))
+
+
+def without_tags(c: Column) -> Column:
+    """Text of a cue without tags and style overrides."""
+    return F.regexp_replace(F.regexp_replace(c, r"\{\\[^}]*\}", ""), "<[^>]+>", "")
+
+
+def without_ansi(c: Column) -> Column:
+    return F.regexp_replace(c, r"\x1B?\[[0-9;]*m", "")
+
+
+def resolved_part(base: Column, target: Column) -> Column:
+    """Path of a part that a part at `base` names: .. goes up, a leading / starts at the root."""
+    start = F.when(target.startswith("/"), F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(base, "[^/]*$", ""), "/"))
+    step = lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p.isin("", "."), a).otherwise(F.concat(a, F.array(p)))
+    return F.array_join(F.aggregate(F.concat(start, F.split(target, "/")), F.array().cast("array<string>"), step), "/")
+
+
+def safe_file_name(c: Column) -> Column:
+    """A file name without what file systems refuse."""
+    name = F.btrim(F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1F]+', "-"), r"\s+", " "), F.lit(" ."))
+    return F.when(name == "", "document").otherwise(name)
+
+
+def data_url(content: Column, mime: Column) -> Column:
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+
+
+def data_url_bytes(url: Column) -> Column:
+    """Content of a data URL; null for anything else or content that can't be decoded."""
+    body = F.regexp_extract(url, r"(?s)^data:[^,]*,(.*)$", 1)
+    return F.when(url.rlike(r"(?s)^data:[^,]*;base64,"), F.try_to_binary(body, F.lit("base64"))).when(url.startswith("data:"), F.try_url_decode(body).cast("binary"))
+
+
+def data_url_type(url: Column) -> Column:
+    return F.when(url.startswith("data:"), F.coalesce(F.nullif(F.regexp_extract(url, "^data:([^;,]+)", 1), F.lit("")), F.lit("application/octet-stream")))
+
+
+def cell_lines(c: Column) -> Column:
+    """Text of a table cell whose line breaks are written as elements: they become "; "."""
+    text = F.regexp_replace(collapsed(F.regexp_replace(F.regexp_replace(c, "(?i)<br */?>", " ; "), "<[^>]+>", "")), r"\s*;\s*", "; ")
+    return F.trim(F.regexp_replace(text, r"^;\s*|;\s*$", ""))
+
+
+def clamped(c: Column, low, high) -> Column:
+    return F.greatest(F.least(c, F.lit(high)), F.lit(low))
+
+
 def fence(code: Column, language: Column) -> Column:
     """Code in a fence longer than any run of backticks in it."""
     ticks = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest_tick_run(code) + 1))

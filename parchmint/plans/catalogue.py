@@ -9,35 +9,27 @@ from pyspark.sql import functions as F
 
 from ..functions import detect as D
 from ..functions import text as T
+from ..operators import emit as E
+from ..operators import flow
 from ..operators import layout as L
 from ..operators import validate as V
+from ..sources import files as FS
 from ..sources import text_like as S
 from ..sources import web
+from .registry import QUERIES, SQL, query, table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+_t = table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
+    from . import files_catalogue, layout_catalogue, score_catalogue  # noqa: F401
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(QUERIES)
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
 
 
 #: The explicit white space class, as RE2 writes it.
@@ -74,13 +66,13 @@ FROM (SELECT page_id, url, hrefs, unnest(range(1, len(hrefs) + 1)) AS n FROM (SE
 
 @query(_LINKS)
 def page_nav_links_absolute(spark, sf_dir):
-    return web.links(_t(spark, sf_dir, "pages"))
+    return FS.links_of(_t(spark, sf_dir, "pages"))
 
 
 @query(f"SELECT regexp_extract(target, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({_LINKS}) GROUP BY 1")
 def page_link_counts_by_host(spark, sf_dir):
     host = F.regexp_extract("target", "^[a-z]+://([^/?#]+)", 1)
-    return web.links(_t(spark, sf_dir, "pages")).groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("links"), F.count_distinct("page_id").alias("pages"))
+    return FS.links_of(_t(spark, sf_dir, "pages")).groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("links"), F.count_distinct("page_id").alias("pages"))
 
 
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"
@@ -92,17 +84,31 @@ def page_token_stats(spark, sf_dir):
     return p.select("page_id", F.trim(web.title(F.col("html"))).alias("title"), F.octet_length("html").cast("long").alias("source_bytes"), F.length("x").cast("long").alias("characters"), T.tokens_estimate(F.length("x")).alias("estimated_tokens"))
 
 
-@query()
+#: The blocks of the driver's pages by tag alone: their article is a heading and paragraphs, closed or not.
+_PAGE_BLOCKS = r"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS idx, text FROM (
+ SELECT page_id, n, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(parts[n], '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text
+ FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT page_id, string_split(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(h1|p)>', chr(1), 'g'), chr(1)) AS parts FROM pages))) WHERE text <> ''"""
+
+
+def _page_documents(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"), "url", F.lit("html").alias("kind"), F.lit("html").alias("ext"), F.lit("").alias("mime"), F.lit(None).cast("string").alias("note"))
+    return FS.read(pages)
+
+
+@query(f"SELECT page_id, idx, CASE WHEN idx = 0 THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN idx = 0 THEN 1 END AS level, text FROM ({_PAGE_BLOCKS})")
 def page_blocks(spark, sf_dir):
-    return web.blocks(_t(spark, sf_dir, "pages"))
+    return FS.blocks(_page_documents(spark, sf_dir), "page_id").select("page_id", "idx", "type", "level", "text")
 
 
-@query()
+@query(f"SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY idx) || chr(10) AS text FROM ({_PAGE_BLOCKS}) GROUP BY page_id")
 def page_plain_text(spark, sf_dir):
-    b = web.blocks(_t(spark, sf_dir, "pages")).where("type <> 'divider'")
-    line = F.when(F.col("type") == "item", F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text"))
-    ordered = F.array_sort(F.collect_list(F.struct("idx", line.alias("line"))))
-    return b.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("text"))
+    return _page_documents(spark, sf_dir).select("page_id", E.plain_text().alias("text"))
+
+
+@query(f"SELECT page_id, CAST(count(*) AS INTEGER) AS blocks, CAST(sum(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+'))) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(floor((sum(length(text)) + count(*) - 1) / 4.0 + 0.5) AS BIGINT) AS estimated_tokens FROM ({_PAGE_BLOCKS}) GROUP BY page_id")
+def page_json_stats(spark, sf_dir):
+    s = _page_documents(spark, sf_dir).select("page_id", F.from_json(E.json_document(), "stats struct<blocks:int,words:bigint,characters:bigint,estimated_tokens:bigint>").alias("j"))
+    return s.select("page_id", "j.stats.*")
 
 
 # ---------------------------------------------------------------- documents
@@ -113,6 +119,13 @@ def doc_lines(spark, sf_dir):
     return S.lines(_t(spark, sf_dir, "documents"))
 
 
+@query("SELECT doc_id, CAST(n - 1 AS INTEGER) AS n, text FROM (SELECT doc_id, n, regexp_replace(parts[n], '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT doc_id, regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\\n{2,}') AS parts FROM documents))) WHERE text <> ''")
+def doc_paragraphs(spark, sf_dir):
+    """Paragraphs of the documents, a blank line put between sentences."""
+    d = _t(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit("\n\n")))
+    return S.paragraphs(d).select("doc_id", "n", "text")
+
+
 @query(r"""SELECT lang, count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS source_bytes, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+'))) AS BIGINT) AS words, CAST(sum(floor(length(text) / 4.0 + 0.5)) AS BIGINT) AS estimated_tokens FROM documents GROUP BY lang""")
 def doc_stats_by_lang(spark, sf_dir):
     words = F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+"))
@@ -176,11 +189,10 @@ def doc_pipe_tables(spark, sf_dir):
     return S.delimited(S.lines(_t(spark, sf_dir, "documents")), " | ").select("doc_id", "line_no", "width", "header")
 
 
-@query("SELECT doc_id, array_to_string(list_transform(ls, lambda l: regexp_replace(l, '-$', '')), '') AS joined, CAST(len(ls) AS BIGINT) AS lines FROM (VALUES (1, ['excite-', 'ment']), (2, ['plain', ' words']), (3, ['a-', 'b-', 'c'])) v(doc_id, ls)")
+@query(f"""WITH l AS (SELECT doc_id, line_no, {_collapse('text')} AS text FROM ({_LINES})), n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM l WHERE text <> '')
+SELECT doc_id, string_agg(CASE WHEN next IS NULL THEN text WHEN regexp_matches(text, '[‐-―-]$') AND regexp_matches(next, '^[a-zà-ÿ]') THEN substr(text, 1, length(text) - 1) ELSE text || ' ' END, '' ORDER BY line_no) AS joined, count(*) AS lines FROM n GROUP BY doc_id""")
 def doc_hyphen_join(spark, sf_dir):
-    rows = spark.createDataFrame([(1, ["excite-", "ment"]), (2, ["plain", " words"]), (3, ["a-", "b-", "c"])], "doc_id int, ls array<string>")
-    joined = F.aggregate("ls", F.lit(""), lambda a, x: F.when(a.endswith("-") & x.rlike("^[a-z]"), F.concat(F.regexp_replace(a, "-$", ""), x)).otherwise(F.concat(a, x)))
-    return rows.select("doc_id", joined.alias("joined"), F.size("ls").cast("long").alias("lines"))
+    return L.joined_lines(S.lines(_t(spark, sf_dir, "documents")), ["doc_id"])
 
 
 # ---------------------------------------------------------------- emitters
@@ -215,9 +227,6 @@ def total_mismatch(spark, sf_dir):
     return _t(spark, sf_dir, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.round("s", 2).alias("line_sum"), "o_totalprice", (F.abs(F.col("s") - F.col("o_totalprice")) > 0.01).alias("mismatch"))
 
 
-_ORDER_CELLS = """SELECT o_orderkey AS doc_id, 0 AS table_id, 0 AS row, 0 AS col, 'Total' AS text FROM orders"""
-
-
 def _order_cells(spark, sf_dir):
     """A table for each order: a row for each line (label, amount) and a total row that leaves the last line out of odd orders."""
     li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row"), F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
@@ -258,15 +267,14 @@ def _order_blocks(spark, sf_dir):
     return o.select("doc_id", b).select("doc_id", "b.*")
 
 
-@query("""SELECT o_orderkey AS doc_id, 0 AS idx, 'headline-total-mismatch' AS type, '$' || CAST(CAST(v + 10 AS DECIMAL(18,2)) AS VARCHAR) AS text, format('the headline figure ${:.2f} matches none of the totals stated: ${:.2f}', CAST(v + 10 AS DOUBLE), CAST(v AS DOUBLE)) AS message FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders) WHERE o_orderkey % 5 = 0""")
+@query("""SELECT o_orderkey AS doc_id, 0 AS idx, 'headline-total-mismatch' AS type, '$' || CAST(CAST(head AS DECIMAL(18,2)) AS VARCHAR) AS text, format('the headline figure ${:.2f} matches none of the totals stated elsewhere on the page (${:.2f})', CAST(head AS DOUBLE), CAST(v AS DOUBLE)) AS message FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v, CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 5 = 0 THEN 10 ELSE 0 END AS head FROM orders) WHERE abs(head - v) > 0.01""")
 def headline_mismatch(spark, sf_dir):
     return V.headline_flags(_order_blocks(spark, sf_dir))
 
 
-@query("""SELECT type, count(*) AS n FROM (
- SELECT 'headline-total-mismatch' AS type FROM orders WHERE o_orderkey % 5 = 0 UNION ALL
- SELECT 'total-mismatch' FROM (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, min(l_linenumber) AS f, sum(CASE WHEN l_linenumber = 1 THEN l_extendedprice ELSE 0 END) AS first FROM lineitem GROUP BY 1) WHERE l_orderkey % 2 = 1 AND n >= 2 AND abs(first) > 0.01
-) GROUP BY type""")
+@query(f"""WITH {_CELLS}, s AS (SELECT doc_id, sum(v) FILTER (label <> 'Total') AS items, max(v) FILTER (label = 'Total') AS total, count(*) AS n FROM money GROUP BY doc_id),
+h AS (SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS v, CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 5 = 0 THEN 10 ELSE 0 END AS head FROM orders)
+SELECT type, count(*) AS n FROM (SELECT 'total-mismatch' AS type FROM s WHERE n >= 3 AND abs(items - total) > 0.01 UNION ALL SELECT 'headline-total-mismatch' FROM h WHERE abs(head - v) > 0.01) GROUP BY type""")
 def flag_histogram(spark, sf_dir):
     flags = V.headline_flags(_order_blocks(spark, sf_dir)).select("type").unionByName(V.total_flags(_order_cells(spark, sf_dir)).select("type"))
     return flags.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
@@ -274,43 +282,51 @@ def flag_histogram(spark, sf_dir):
 
 # ---------------------------------------------------------------- lexicon
 
-_TOKENS = r"""SELECT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en') WHERE regexp_matches(w, '^[a-z]{4,}$') AND regexp_matches(w, '[aeiouy]')"""
+_TOKEN_SQL = V.TOKEN.replace("'", "''")
+_TOKENS = f"""SELECT doc_id, line_no, token FROM (SELECT doc_id, line_no, n - 1 AS pos, regexp_extract(ms[n], '^([^ \\t\\n\\f\\rA-Za-z]?)', 1) AS before, regexp_replace(regexp_extract(ms[n], '([A-Za-z][A-Za-z''’-]*)$', 1), '^[''’-]+|[''’-]+$', '', 'g') AS token
+ FROM (SELECT doc_id, line_no, ms, unnest(range(1, len(ms) + 1)) AS n FROM (SELECT doc_id, line_no, regexp_extract_all(text, '{_TOKEN_SQL}') AS ms FROM ({_LINES}) WHERE lang = 'en' AND NOT regexp_matches(text, '\\b[0-9]{{4,5}}[ \\t\\n\\f\\r]*-[ \\t\\n\\f\\r]*[^ \\t\\n\\f\\r]'))))
+WHERE regexp_matches(token, '^[A-Za-z][a-z]{{3,}}$') AND regexp_matches(token, '[aeiouyAEIOUY]') AND (regexp_matches(token, '^[a-z]') OR (pos = 0 AND before = '') OR before IN ('.', '!', '?', ':', ';'))"""
+_COUNTS = f"SELECT lower(token) AS w, count(*) AS n FROM ({_TOKENS}) GROUP BY 1"
+
+
+def _english_tokens(spark, sf_dir):
+    """Tokens of the English documents that a dictionary can judge, first words of sentences among them."""
+    return V.prose_tokens(S.lines(_t(spark, sf_dir, "documents").where("lang = 'en'")))
 
 
-def _english_words(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where("lang = 'en'")
-    w = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    return w.where(T.dictionary_candidate(F.col("w"), F.lit(False)))
+def _word_counts(spark, sf_dir):
+    return _english_tokens(spark, sf_dir).groupBy(F.lower("token").alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT w, count(*) AS n FROM ({_TOKENS}) GROUP BY w")
+@query(_COUNTS)
 def lexicon_candidates(spark, sf_dir):
-    return _english_words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return _word_counts(spark, sf_dir)
 
 
-@query(f"WITH c AS (SELECT w, count(*) AS n FROM ({_TOKENS}) GROUP BY w) SELECT w, n FROM c WHERE w NOT IN (SELECT w FROM c WHERE n >= 20)")
+@query(f"WITH c AS ({_COUNTS}) SELECT w, n FROM c WHERE w NOT IN (SELECT w FROM c WHERE n >= 20)")
 def lexicon_unknown(spark, sf_dir):
-    c = _english_words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    c = _word_counts(spark, sf_dir)
     return c.join(c.where("n >= 20").select("w"), "w", "left_anti")
 
 
-@query(f"""WITH c AS (SELECT w, count(*) AS n FROM ({_TOKENS}) GROUP BY w), k AS (SELECT w AS word, row_number() OVER (ORDER BY n DESC, w) AS rank FROM c WHERE n >= 20),
-u AS (SELECT w AS token FROM c WHERE n BETWEEN 8 AND 19),
+@query(f"""WITH c AS ({_COUNTS}), k AS (SELECT w AS word, row_number() OVER (ORDER BY n DESC, w) AS rank FROM c WHERE n >= 20),
+u AS (SELECT w AS token FROM c WHERE n < 20),
 p AS (SELECT token, word, rank, levenshtein(token, word) AS d FROM u JOIN k ON abs(length(token) - length(word)) <= 2)
 SELECT token, word AS suggestion FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, length(word), rank) AS r FROM p WHERE d BETWEEN 1 AND 2) WHERE r = 1""")
 def lexicon_suggestion(spark, sf_dir):
-    c = _english_words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    """The nearest frequent word (20 occurrences) of every other word."""
+    c = _word_counts(spark, sf_dir)
     # frequency order needs no number: (-n, word) sorts alike
     lexicon = c.where("n >= 20").select(F.col("w").alias("word"), (-F.col("n")).alias("rank"))
-    return V.suggestions(c.where("n BETWEEN 8 AND 19").select(F.col("w").alias("token")), lexicon)
+    return V.suggestions(c.where("n < 20").select(F.col("w").alias("token")), lexicon)
 
 
 @query()
-def lexicon_suggestion_all(spark, sf_dir):
-    """As lexicon_suggestion, for every unknown word and not only for those seen 8 to 19 times."""
-    c = _english_words(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+def lexicon_flags(spark, sf_dir):
+    """A flag for each word of a document that is none and near one."""
+    c = _word_counts(spark, sf_dir)
     lexicon = c.where("n >= 20").select(F.col("w").alias("word"), (-F.col("n")).alias("rank"))
-    return V.suggestions(c.where("n < 20").select(F.col("w").alias("token")), lexicon)
+    return V.lexicon_flags(_english_tokens(spark, sf_dir), lexicon)
 
 
 # ---------------------------------------------------------------- events, sequences
@@ -328,18 +344,27 @@ def events_bad_lines(spark, sf_dir):
     return S.json_lines(e, "line", "k bigint").select("event_id", "ok")
 
 
-_CUES = "SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cue, CAST(epoch_us(ts) // 1000000 % 100000 // 100 AS DOUBLE) AS start, event_type || CASE WHEN event_id % 3 = 0 THEN '.' ELSE '' END AS text FROM events"
+#: Cues of each user: seven seconds apart and a little more, so both rules end paragraphs; every third ends a sentence.
+CUES = "SELECT user_id AS doc_id, cue, CAST(cue * 7 + cue % 5 AS DOUBLE) AS start, text FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cue, event_type || CASE WHEN event_id % 3 = 0 THEN '.' ELSE '' END AS text FROM events)"
+PARAGRAPHS = f"""WITH RECURSIVE c AS ({CUES}),
+f AS (SELECT doc_id, cue, start, text, start AS opened, text AS last, true AS counts FROM c WHERE cue = 1 UNION ALL
+ SELECT doc_id, cue, start, text, CASE WHEN opens THEN start ELSE opened END, CASE WHEN counts THEN text WHEN opens THEN NULL ELSE last END, counts
+ FROM (SELECT c.doc_id, c.cue, c.start, c.text, f.opened, f.last, c.text IS DISTINCT FROM f.last AS counts,
+  c.start - f.opened > 45 OR (c.start - f.opened > 20 AND coalesce(regexp_matches(f.last, '[.!?]["'')\\]]?$'), false)) AS opens FROM f JOIN c ON c.doc_id = f.doc_id AND c.cue = f.cue + 1)),
+g AS (SELECT doc_id, opened AS start, min(cue) AS first_cue, count(*) AS cues, coalesce(string_agg(text, ' ' ORDER BY cue) FILTER (counts), '') AS text FROM f GROUP BY 1, 2)
+SELECT doc_id, start, first_cue, cues, text FROM (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS next FROM g) WHERE text <> '' OR next IS NOT NULL"""
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT doc_id, cue, CAST(cue * 7 AS DOUBLE) + cue % 5 AS start, text FROM ({_CUES})),
-f AS (SELECT doc_id, cue, start, text, start AS opened FROM c WHERE cue = 1 UNION ALL
- SELECT c.doc_id, c.cue, c.start, c.text, CASE WHEN (regexp_matches(f.text, '[.!?]$') AND c.start - f.opened > 20) OR c.start - f.opened > 45 THEN c.start ELSE f.opened END FROM f JOIN c ON c.doc_id = f.doc_id AND c.cue = f.cue + 1)
-SELECT doc_id, opened AS start, min(cue) AS first_cue, count(*) AS cues FROM f GROUP BY 1, 2""")
-def cue_paragraphs(spark, sf_dir):
+def user_cues(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     cue = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     c = e.select(F.col("user_id").alias("doc_id"), cue.cast("long").alias("cue"), F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ".").otherwise("")).alias("text"))
-    return L.cue_paragraphs(c.withColumn("start", F.col("cue") * 7.0 + F.col("cue") % 5))
+    return c.withColumn("start", F.col("cue") * 7.0 + F.col("cue") % 5)
+
+
+@query(PARAGRAPHS)
+def cue_paragraphs(spark, sf_dir):
+    return L.cue_paragraphs(user_cues(spark, sf_dir))
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1 OR b IS DISTINCT FROM event_type")
@@ -350,13 +375,15 @@ def consecutive_dedupe(spark, sf_dir):
 @query("""WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page, CASE WHEN l_orderkey % 3 = 0 THEN '- ' || (l_linenumber + 10) || ' -' WHEN l_orderkey % 3 = 1 THEN 'Page ' || l_linenumber ELSE '[' || (l_linenumber * 2) || ']' END AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
 f AS (SELECT *, CAST(regexp_extract(text, '([0-9]+)', 1) AS INTEGER) AS value FROM l WHERE doc_id % 3 <> 1),
 s AS (SELECT *, value - lag(value) OVER w AS step, page - lag(page) OVER w AS move FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
-g AS (SELECT doc_id FROM s GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (step > 0 AND step = move) >= ceil((count(*) - 1) * 0.9))
+p AS (SELECT l_orderkey AS doc_id, count(DISTINCT l_linenumber) + l_orderkey % 4 AS pages FROM lineitem GROUP BY 1),
+g AS (SELECT doc_id FROM s JOIN p USING (doc_id) GROUP BY 1, pages HAVING count(*) >= greatest(2, ceil(pages * 6 / 10)) AND count(*) FILTER (step > 0 AND step = move) >= ceil((count(*) - 1) * 0.9))
 SELECT doc_id, 'bottom' AS band, page, text, value FROM f WHERE doc_id IN (SELECT doc_id FROM g)""")
 def folio_sequence(spark, sf_dir):
     l = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     n = F.col("l_linenumber")
     text = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("- "), (n + 10).cast("string"), F.lit(" -"))).when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("Page "), n.cast("string"))).otherwise(F.concat(F.lit("["), (n * 2).cast("string"), F.lit("]")))
-    return L.folio_sequences(l.select(F.col("l_orderkey").alias("doc_id"), F.lit("bottom").alias("band"), n.cast("int").alias("page"), text.alias("text")))
+    pages = l.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", (F.col("n") + F.col("doc_id") % 4).alias("pages"))
+    return L.folio_sequences(l.select(F.col("l_orderkey").alias("doc_id"), F.lit("bottom").alias("band"), n.cast("int").alias("page"), text.alias("text")), pages)
 
 
 @query("""WITH s AS (SELECT *, sum(CASE WHEN b IS NOT DISTINCT FROM event_type AND r > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
@@ -387,11 +414,9 @@ def weighted_body_size(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS median FROM lineitem GROUP BY 1, 2")
 def upper_median_by_group(spark, sf_dir):
-    # exact and without collecting a group: values are counted first, then the one at the middle place is taken
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_extendedprice").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("l_returnflag", "l_linestatus")
-    run = li.withColumn("run", F.sum("n").over(w.orderBy("l_extendedprice"))).withColumn("all", F.sum("n").over(w))
-    return run.where(F.col("run") >= F.floor(F.col("all") / 2) + 1).groupBy("l_returnflag", "l_linestatus").agg(F.min("l_extendedprice").alias("median"))
+    # exact, and neither a group is collected nor sorted in one task
+    keys = ["l_returnflag", "l_linestatus"]
+    return L.upper_quantiles(_t(spark, sf_dir, "lineitem"), keys, "l_extendedprice").withColumnRenamed("value", "median")
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS slowest, max(o_orderkey) FILTER (o_totalprice = m) AS slowest_key FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_orderpriority) AS m FROM orders) GROUP BY 1")
@@ -417,27 +442,24 @@ def row_cap_truncation(spark, sf_dir):
 
 @query("SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def expectation_contains(spark, sf_dir):
-    # needles meet only texts that hold their words 2 to 4: an equality join on word triples, then the exact test
-    # with fewer than five words these may end inside a text's word or not be there: such needles are tried on every text
-    words = lambda t: F.filter(F.split(t, r"[ \t\n\r\f]+"), lambda w: w != "")
-    b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
-    counted = b.withColumn("w", words(F.col("needle")))
-    keyed = counted.where(F.size("w") >= 5).select("item_id", F.array_join(F.slice("w", 2, 3), " ").alias("k"))
-    short = counted.where(F.size("w") < 5).select("item_id", "needle")
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    wd = d.withColumn("w", words(F.col("text")))
-    triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
-    hits = wd.select("doc_id", F.explode(triples).alias("k")).join(keyed.select("k", "item_id"), "k").select("doc_id", "item_id").distinct()
-    found = hits.join(d, "doc_id").join(b, "item_id").where(F.contains("text", "needle")).select("item_id")
-    tried = d.join(short, F.contains("text", "needle")).select("item_id")
-    exact = found.unionByName(tried).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return b.join(exact, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("documents"))
-
-
-@query("SELECT l_orderkey, count(*) AS lines, count(*) FILTER (contains(line, '99')) AS attributed FROM (SELECT l_orderkey, l_partkey || ' $' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS line FROM lineitem) GROUP BY 1")
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("needle"))
+    hits = V.contained(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), b)
+    n = hits.groupBy("item").agg(F.count(F.lit(1)).alias("documents"))
+    return b.join(n, "item", "left").select(F.col("item").alias("item_id"), F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
+
+
+#: A line of code, part and amount for each item: half of the amounts stand a line below their part.
+@query(r"""WITH d AS (SELECT l_orderkey, string_agg('P' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN chr(10) ELSE ' ' END || '$' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), chr(10)) AS md FROM lineitem GROUP BY 1)
+SELECT l.l_orderkey, count(*) AS items, count(*) FILTER (len(list_filter(string_split(d.md, chr(10)), lambda x: contains(x, 'P' || l.l_partkey) AND contains(x, '$' || CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)))) > 0) AS attributed FROM lineitem l JOIN d ON d.l_orderkey = l.l_orderkey GROUP BY 1""")
 def attribution_same_line(spark, sf_dir):
-    line = F.concat(F.col("l_partkey").cast("string"), F.lit(" $"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.count_if(line.contains("99")).alias("attributed"))
+    """Items of an order whose part and amount stand on one line of the order's text."""
+    li = _t(spark, sf_dir, "lineitem")
+    code, amount = F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.concat(F.lit("$"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    rows = li.select("l_orderkey", code.alias("code"), amount.alias("amount"), F.when(F.col("l_linenumber") % 2 == 0, "\n").otherwise(" ").alias("sep"))
+    md = rows.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat("code", "sep", "amount")), "\n").alias("md"), F.collect_list(F.struct("code", "amount")).alias("items"))
+    lines = F.split("md", "\n")
+    on = F.filter("items", lambda i: F.exists(lines, lambda x: F.contains(x, i["code"]) & F.contains(x, i["amount"])))
+    return md.select("l_orderkey", F.size("items").cast("long").alias("items"), F.size(on).cast("long").alias("attributed"))
 
 
 # ---------------------------------------------------------------- scalars
@@ -467,22 +489,44 @@ def money_parse(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.money(text).cast("double").alias("value"), T.money_text(T.money(text)).alias("shown"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'pdf', 'pdf', 'a.b'), (2, 'archive', 'docx', 'report'), (3, 'csv', 'csv', 'rows'), (4, 'html', 'xyz', 'page'), (5, 'text', '', 'README'), (6, 'unsupported', 'bin', 'blob'), (7, 'image', 'txt', 'scan'), (8, 'unsupported', 'doc', 'old')) v(id, kind, ext, stem)""")
+#: What the driver's rows become as files: eight sorts, by their number.
+_HEADS = ["255044462D312E37", "89504E470D0A1A0A", "7B5C72746631", "D0CF11E0A1B11AE1", "", "", "", "00010203"]
+_NAMES = ["a.b.pdf", "scan.txt", "dir/letter.DOC", "old.doc", "rows.CSV", "page.xyz", "README", "blob.bin"]
+
+
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'rtf' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'csv' WHEN 5 THEN CASE WHEN text = '' THEN 'html' ELSE 'html' END WHEN 6 THEN 'text' ELSE 'unsupported' END AS kind,
+ lower(regexp_extract(['a.b.pdf', 'scan.txt', 'dir/letter.DOC', 'old.doc', 'rows.CSV', 'page.xyz', 'README', 'blob.bin'][doc_id % 8 + 1], '\\.([A-Za-z0-9]+)$', 1)) AS ext,
+ regexp_replace(regexp_replace(['a.b.pdf', 'scan.txt', 'dir/letter.DOC', 'old.doc', 'rows.CSV', 'page.xyz', 'README', 'blob.bin'][doc_id % 8 + 1], '^.*/', ''), '\\.[A-Za-z0-9]+$', '') AS stem, doc_id % 8 = 3 AS noted FROM documents""")
 def format_detect(spark, sf_dir):
-    rows = [(1, "255044462D312E37", "a.b.pdf", ""), (2, "504B030414000600", "dir/report.DOCX", ""), (3, "612C62", "rows.csv", ""), (4, "3C68746D6C3E", "page.xyz", "text/html"), (5, "68656C6C6F", "README", ""), (6, "00010203", "blob.bin", ""), (7, "89504E470D0A1A0A", "scan.txt", ""), (8, "D0CF11E0A1B11AE1", "old.doc", "")]
-    f = spark.createDataFrame(rows, "id int, hex string, name string, mime string").withColumn("content", F.unhex("hex"))
-    return f.select("id", D.detect(F.col("content"), F.col("name"), F.col("mime")).alias("kind"), D.extension(F.col("name")).alias("ext"), D.base_name(F.col("name")).alias("stem"))
+    """Documents behind the signatures of eight sorts of files, with names that tell or lie."""
+    i = (F.col("doc_id") % 8).cast("int")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), i)
+    files = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.unhex(pick(_HEADS)), F.col("text").cast("binary")).alias("content"), pick(_NAMES).alias("name"), F.when(i == 5, "text/html").otherwise("").alias("mime"))
+    return FS.detected(files).select("doc_id", "kind", "ext", D.base_name(F.col("name")).alias("stem"), F.col("note").isNotNull().alias("noted"))
+
+
+_SHAPED = "SELECT doc_id, line_no, CASE line_no % 6 WHEN 0 THEN '(' || text WHEN 1 THEN text || ')' WHEN 2 THEN '08-14-2026 ' || text WHEN 3 THEN upper(substr(text, 1, 20)) || '(S)' WHEN 4 THEN text ELSE '[' || text || ']' END AS text"
 
 
-@query("""SELECT * FROM (VALUES (1, 'opens-mid-parenthetical'), (2, 'unbalanced-brackets'), (3, 'leading-date'), (4, 'uppercase-descriptor-fragment'), (5, NULL), (6, 'empty'), (7, NULL)) v(id, rule)""")
+@query(f"""SELECT doc_id, line_no, CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(trim(text), '^[(\\[]') THEN 'opens-mid-parenthetical' WHEN unbalanced THEN 'unbalanced-brackets'
+ WHEN regexp_matches(trim(text), '^[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{2,4}}\\b') THEN 'leading-date'
+ WHEN regexp_matches(text, '[()]') AND regexp_matches(text, '[A-Z]') AND trim(text) = upper(trim(text)) AND length(trim(text)) <= 48 THEN 'uppercase-descriptor-fragment' END AS rule
+FROM (SELECT *, list_min(r) < 0 OR list_min(s) < 0 OR r[-1] <> 0 OR s[-1] <> 0 AS unbalanced FROM (SELECT *, list_transform(range(0, len(b) + 1), lambda i: len(list_filter(b[1:i], lambda x: x = '(')) - len(list_filter(b[1:i], lambda x: x = ')'))) AS r,
+ list_transform(range(0, len(b) + 1), lambda i: len(list_filter(b[1:i], lambda x: x = '[')) - len(list_filter(b[1:i], lambda x: x = ']'))) AS s
+ FROM (SELECT *, regexp_extract_all(trim(text), '[()\\[\\]]') AS b FROM ({_SHAPED} FROM ({_LINES})))))""")
 def heading_rejections(spark, sf_dir):
-    rows = [(1, "(EG, FOR A"), (2, "HEEL)"), (3, "08-14-2026 Scan"), (4, "MATERIAL(S)"), (5, "Findings"), (6, "  "), (7, "Results (summary)")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", T.heading_rejection(F.col("text")).alias("rule"))
+    """The rule that rejects each line of the documents, put in brackets, dated and capitalised in turn, as a heading."""
+    i, t = F.col("line_no") % 6, F.col("text")
+    shaped = F.when(i == 0, F.concat(F.lit("("), t)).when(i == 1, F.concat(t, F.lit(")"))).when(i == 2, F.concat(F.lit("08-14-2026 "), t)).when(i == 3, F.concat(F.upper(F.substring(t, 1, 20)), F.lit("(S)"))).when(i == 4, t).otherwise(F.concat(F.lit("["), t, F.lit("]")))
+    lines = S.lines(_t(spark, sf_dir, "documents")).withColumn("text", shaped)
+    return lines.select("doc_id", "line_no", flow.first_rule(flow.rejection_rules(F.trim(F.col("text")))).alias("rule"))
 
 
-@query("SELECT c_custkey, '```' || '`' || 'sql' || chr(10) || 'a ``` ' || c_name || chr(10) || '````' AS fenced FROM customer")
+@query("""WITH c AS (SELECT c_custkey, 'a ' || repeat('`', CAST(c_custkey % 6 AS BIGINT)) || ' ' || c_name AS code FROM customer), t AS (SELECT *, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(code, '`+'), lambda x: length(x))), 0) + 1)) AS ticks FROM c)
+SELECT c_custkey, ticks || 'sql' || chr(10) || code || chr(10) || ticks AS fenced FROM t""")
 def code_fences(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select("c_custkey", T.fence(F.concat(F.lit("a ``` "), "c_name"), F.lit("sql")).alias("fenced"))
+    code = F.concat(F.lit("a "), F.repeat(F.lit("`"), (F.col("c_custkey") % 6).cast("int")), F.lit(" "), "c_name")
+    return _t(spark, sf_dir, "customer").select("c_custkey", T.fence(code, F.lit("sql")).alias("fenced"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -23,7 +23,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 def delimited(lines: DataFrame, separator: str, least: int = 3) -> DataFrame:
     """doc_id, line_no, width, cells, header of lines with `least` fields or more; header: all cells filled and none numeric."""
     cells = F.split("text", F.lit(f"\\Q{separator}\\E"))
-    rows = lines.withColumn("cells", F.transform(cells, F.trim)).withColumn("width", F.size("cells").cast("long")).where(F.col("width") >= least)
+    rows = lines.withColumn("cells", F.transform(cells, lambda c: F.trim(c))).withColumn("width", F.size("cells").cast("long")).where(F.col("width") >= least)
     header = F.forall("cells", lambda c: (c != "") & ~c.rlike(r"^-?[0-9.,]+$"))
     return rows.select("doc_id", "line_no", "width", "cells", header.alias("header"))
 

@@ -1,72 +1,10 @@
-"""Blocks of HTML pages: a tolerant walk with the standard parser, Arrow batches in and out."""
+"""Parts of HTML pages that patterns can tell, as Column expressions; sources.files reads whole pages."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCKS = {"p": "paragraph", "li": "item", "pre": "code", "blockquote": "quote", "tr": "row", "hr": "divider", **{f"h{i}": "heading" for i in range(1, 7)}}
-#: Elements whose content is no content.
-DROPPED = {"script", "style", "nav", "footer", "aside", "form", "noscript", "template", "svg", "head"}
-_SCHEMA = "page_id long, idx int, type string, level int, text string"
-
-
-class _Walk(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.kind, self.level, self.text, self.hidden = [], "paragraph", None, [], []
-
-    def flush(self):
-        text = " ".join("".join(self.text).split())
-        if text or self.kind == "divider":
-            self.out.append((self.kind, self.level, text))
-        self.kind, self.level, self.text = "paragraph", None, []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in DROPPED or tag == "div" and ("class", "ad") in attrs:
-            self.hidden.append(tag)
-        elif not self.hidden and tag in BLOCKS:
-            self.flush()
-            self.kind, self.level = BLOCKS[tag], int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None
-            if tag == "hr":
-                self.flush()
-        elif tag in ("br", "td", "th"):
-            self.text.append(" ")
-
-    def handle_endtag(self, tag):
-        if self.hidden:
-            if tag in self.hidden:
-                del self.hidden[self.hidden.index(tag) :]
-        elif tag in BLOCKS or tag in ("article", "main", "section", "div", "table", "ul", "ol", "body"):
-            self.flush()
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.text.append(data)
-
-
-def blocks(pages: DataFrame) -> DataFrame:
-    """page_id, idx, type, level, text of pages(page_id, html), in reading order. A page that can't be read gives no rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for key, html in zip(b.column(0).to_pylist(), b.column(1)):
-                walk = _Walk()
-                walk.feed(html.as_py() or "")
-                walk.close()
-                walk.flush()
-                rows += [(key, i, *x) for i, x in enumerate(walk.out)]
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["page_id", "idx", "type", "level", "text"])
-
-    return pages.select("page_id", "html").mapInArrow(run, _SCHEMA)
-
 
 def title(html: Column) -> Column:
     return F.regexp_extract(html, "<title>([^<]*)</title>", 1)
@@ -80,13 +18,3 @@ def plain(html: Column) -> Column:
     """Text of a page without markup: scripts and styles go with their content, other tags leave a blank."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " "), "<[^>]*>", " ")
     return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f]+", " "))
-
-
-def origin(url: Column) -> Column:
-    return F.regexp_extract(url, "^([a-z]+://[^/?#]+)", 1)
-
-
-def links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, href, target of the links of pages(page_id, url, html); root-relative ones get the page's origin."""
-    found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
-    return found.select("page_id", "pos", "href", F.when(F.col("href").startswith("/"), F.concat(origin(F.col("url")), F.col("href"))).otherwise(F.col("href")).alias("target"))
