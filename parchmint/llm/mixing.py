@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import WORD, small, stored, with_row
 
 #: Sources that one task ranks; rows for each of the cells that coins are counted in.
-RANKED, CELL = 100_000, 10_000_000
+RANKED, CELL = 100_000, 100_000
 
 
 def word_count(text: Column) -> Column:
