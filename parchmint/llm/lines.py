@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_known, small, stored
+from .common import HOT, HOT_SHARE, join_known, small, stored
 
 #: Lines under the rolling hash; one place in DIVISOR is a boundary; least and most lines of a chunk.
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 16
@@ -116,10 +116,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4))]], ["row", "kept", "n_lines", "n_chunks", "chunks_removed", "lines_removed"])
 
 
-def _again(places: DataFrame, keys: list[str], total: int, name: str) -> DataFrame:
+def _again(places: DataFrame, keys: list[str], name: str) -> DataFrame:
     """doc_id, pair of the places whose keys also stand earlier. A key with many places is met by a broadcast, so no task gets them all."""
-    firsts = places.groupBy(*keys).agg(F.min(F.struct("doc_id", "pair")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = join_known(places, stored(firsts, name), keys, total)
+    firsts = stored(places.groupBy(*keys).agg(F.min(F.struct("doc_id", "pair")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), name)
+    total, most = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # without a frequent key the places are read once
+    met = join_known(places, firsts, keys, total if most > max(HOT, total // HOT_SHARE) else 0)
     return met.where("doc_id <> first.doc_id OR pair <> first.pair").select("doc_id", "pair")
 
 
@@ -134,14 +136,13 @@ def repeated_pairs(docs: DataFrame, bits: int = 64) -> DataFrame:
     content = docs.mapInArrow(_emit_lines(bits), "h long, raw binary").distinct()
     unsure = stored(content.groupBy("h").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("h"), "unsure-lines")
     places = docs.mapInArrow(_emit_pairs(bits, False), "doc_id long, pair int, a long, b long")
-    total = places.agg(F.count(F.lit(1))).first()[0]
     if unsure.isEmpty():
-        return _again(places, ["a", "b"], total, "pairs").groupBy("doc_id").agg(F.collect_set("pair").alias("drop"))
+        return _again(places, ["a", "b"], "pairs").groupBy("doc_id").agg(F.collect_set("pair").alias("drop"))
     either = small(unsure.withColumnRenamed("h", "a")), small(unsure.withColumnRenamed("h", "b"))
     sure = places.join(either[0], "a", "left_anti").join(either[1], "b", "left_anti")
     whole = docs.mapInArrow(_emit_pairs(bits, True), "doc_id long, pair int, a long, b long, raw binary")
     doubtful = whole.join(either[0], "a", "left_semi").unionByName(whole.join(either[0], "a", "left_anti").join(either[1], "b", "left_semi"))
-    again = _again(sure, ["a", "b"], total, "pairs").unionByName(_again(doubtful.drop("a", "b"), ["raw"], total, "doubtful-pairs"))
+    again = _again(sure, ["a", "b"], "pairs").unionByName(_again(doubtful.drop("a", "b"), ["raw"], "doubtful-pairs"))
     return again.groupBy("doc_id").agg(F.collect_set("pair").alias("drop"))
 
 
