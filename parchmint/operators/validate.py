@@ -145,6 +145,8 @@ def _scan(texts: DataFrame, needles: list[tuple], item_type: str) -> DataFrame:
         by.setdefault(needle, []).append(item)
     known = texts.sparkSession.sparkContext.broadcast(by)
 
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = known.value
         automaton = None
@@ -169,7 +171,7 @@ def _scan(texts: DataFrame, needles: list[tuple], item_type: str) -> DataFrame:
                     items += by[needle]
                     at += [i] * len(by[needle])
             if at:
-                yield pa.RecordBatch.from_pydict({"key": b.column(0).take(pa.array(at)), "item": pa.array(items)})
+                yield pa.RecordBatch.from_pydict({"key": b.column(0).take(pa.array(at)), "item": pa.array(items, kinds[item_type])})
 
     key = texts.schema["key"].dataType.simpleString()
     return texts.select("key", "text").mapInArrow(run, f"key {key}, item {item_type}")

@@ -77,7 +77,7 @@ def page_lines(found: DataFrame) -> DataFrame:
 def low_confidence(words: DataFrame, below: float = LOW) -> DataFrame:
     """Words with a known confidence below the bound, rounded to a tenth."""
     c = known_confidence(F.col("confidence").cast("double"))
-    return words.withColumn("confidence", F.floor(c * 10 + 0.5) / 10).where(c < below)
+    return words.where(c < below).withColumn("confidence", F.floor(c * 10 + 0.5) / 10)
 
 
 def summary(words: DataFrame, pages: DataFrame | None = None, most: int = 20) -> DataFrame:
@@ -166,8 +166,12 @@ def regions(inky: DataFrame) -> DataFrame:
     kind = inky.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+
         def rows():
+            nonlocal key
             for b in batches:
+                key = b.column(0).type
                 yield from zip(*[b.column(i).to_pylist() for i in range(5)])
 
         for (doc, page), group in groupby(rows(), key=lambda r: r[:2]):
@@ -184,8 +188,7 @@ def regions(inky: DataFrame) -> DataFrame:
                             todo.append(n)
                 cs, rs = [c for c, _ in mine], [r for _, r in mine]
                 out.append((doc, page, len(out), min(cs) * CELL, min(rs) * CELL, (max(cs) + 1) * CELL, (max(rs) + 1) * CELL, len(mine), sum(mine.values())))
-            first = pa.array([o[0] for o in out])
-            kinds = (first.type, pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.int32(), pa.float64())
+            kinds = (key, pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "page", "region", "x", "y", "x2", "y2", "cells", "ink"])
 
     given = inky.select("doc_id", F.col("page").cast("int").alias("page"), "c", "r", "ink")
@@ -283,8 +286,12 @@ def paragraphs(found: DataFrame) -> DataFrame:
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+
         def rows():
+            nonlocal key
             for b in batches:
+                key = b.column(0).type
                 yield from zip(*[b.column(i).to_pylist() for i in range(6)])
 
         for (doc, page), group in groupby(rows(), key=lambda r: r[:2]):
@@ -303,8 +310,7 @@ def paragraphs(found: DataFrame) -> DataFrame:
             out = [(doc, page, i, unwrapped(t), h, len(t)) for i, (t, h) in enumerate(open_)]
             out = [o for o in out if o[3] and not (len(o[3]) == 1 and o[3] not in "IA0123456789")]
             if out:
-                first = pa.array([o[0] for o in out])
-                kinds = (first.type, pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32())
+                kinds = (key, pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "page", "para", "text", "height", "lines"])
 
     f = lambda c: F.col(c).cast("double").alias(c)
