@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import forget, give_back
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -158,7 +160,10 @@ def score_column(model: Net | float):
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model if isinstance(model, float) else model.score(_bytes(x)) for x in text], dtype="float64")
+        forget()
+        found = pd.Series([model if isinstance(model, float) else model.score(_bytes(x)) for x in text], dtype="float64")
+        give_back()
+        return found
 
     return score
 

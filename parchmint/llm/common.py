@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +73,6 @@ def sweep(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) ->
 
 
 def _sweep_at_exit() -> None:
-    import contextlib
-
     spark = SparkSession.getActiveSession()
     if spark is not None:
         with contextlib.suppress(Exception):  # the session may have ended before the process
@@ -166,14 +167,45 @@ REMEMBERED, REMEMBERED_BYTES = 300_000, 64
 _memory: dict[str, dict] = {}
 
 
-def memory(owner: str) -> dict:
-    """What `owner` remembers between the calls and tasks of a Python worker. A new owner takes the place of the one before, so a worker that serves one operator after the other holds one memory."""
+def memory(owner: str, beside: str | None = None) -> dict:
+    """What `owner` remembers between the calls and tasks of a Python worker. A new owner takes the place of the ones before, but for `beside`, so a worker that serves one operator after the other holds one operator's memory."""
     if owner not in _memory:
-        _memory.clear()
+        held = _memory.get(beside) if beside else None
+        forget()
+        if held is not None:
+            _memory[beside] = held
         _memory[owner] = {}
     return _memory[owner]
 
 
+def forget() -> None:
+    """Drop what a Python worker remembers for any operator."""
+    _memory.clear()
+
+
+def give_back() -> None:
+    """Return memory that is free again to the system: a worker lives through many tasks, and its allocators keep what one of them needed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's allocator can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], remembers: bool = False) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, so that a task starts without what other operators remembered (unless it `remembers` itself) and gives its memory back at its end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        if not remembers:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash for each word; those of frequent words are remembered."""
     import xxhash

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT, HOT_SHARE, join_known, small, stored
+from .common import HOT, HOT_SHARE, join_known, lean, small, stored
 
 #: Lines under the rolling hash; one place in DIVISOR is a boundary; least and most lines of a chunk.
 WINDOW, DIVISOR, LEAST, MOST = 2, 3, 2, 16
@@ -133,14 +133,14 @@ def repeated_pairs(docs: DataFrame, bits: int = 64) -> DataFrame:
     `bits`: length of the hashes (tests shorten it).
     """
     docs = docs.where("doc_id IS NOT NULL")
-    content = docs.mapInArrow(_emit_lines(bits), "h long, raw binary").distinct()
+    content = docs.mapInArrow(lean(_emit_lines(bits)), "h long, raw binary").distinct()
     unsure = stored(content.groupBy("h").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("h"), "unsure-lines")
-    places = docs.mapInArrow(_emit_pairs(bits, False), "doc_id long, pair int, a long, b long")
+    places = docs.mapInArrow(lean(_emit_pairs(bits, False)), "doc_id long, pair int, a long, b long")
     if unsure.isEmpty():
         return _again(places, ["a", "b"], "pairs").groupBy("doc_id").agg(F.collect_set("pair").alias("drop"))
     either = small(unsure.withColumnRenamed("h", "a")), small(unsure.withColumnRenamed("h", "b"))
     sure = places.join(either[0], "a", "left_anti").join(either[1], "b", "left_anti")
-    whole = docs.mapInArrow(_emit_pairs(bits, True), "doc_id long, pair int, a long, b long, raw binary")
+    whole = docs.mapInArrow(lean(_emit_pairs(bits, True)), "doc_id long, pair int, a long, b long, raw binary")
     doubtful = whole.join(either[0], "a", "left_semi").unionByName(whole.join(either[0], "a", "left_anti").join(either[1], "b", "left_semi"))
     again = _again(sure, ["a", "b"], "pairs").unionByName(_again(doubtful.drop("a", "b"), ["raw"], "doubtful-pairs"))
     return again.groupBy("doc_id").agg(F.collect_set("pair").alias("drop"))
@@ -160,7 +160,7 @@ def dedup_lines(docs: DataFrame, bits: int = 64) -> DataFrame:
     # texts meet their drops by the same merge join at every size, and travel once
     joined = rows.join(drop.hint("merge"), F.col("key") == F.col("id"), "left").select("row", F.col("row.text").cast("string").alias("whole"), "drop")
     kind = joined.select("row").schema["row"].dataType.simpleString()
-    return joined.select("row", "whole", "drop").mapInArrow(_cut, f"row {kind}, kept string, n_lines long, n_chunks long, chunks_removed long, lines_removed long")
+    return joined.select("row", "whole", "drop").mapInArrow(lean(_cut), f"row {kind}, kept string, n_lines long, n_chunks long, chunks_removed long, lines_removed long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

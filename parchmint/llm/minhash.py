@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingles, stored, word_hashes
+from .common import components, lean, mix, shingles, stored, word_hashes
 
 #: Bands x rows of a band: at a similarity of 0.8 a pair shares no band with chance 0.00005.
 BANDS, ROWS = 25, 5
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     Null texts and texts without words have an empty set and link with nothing; so do rows without doc_id. Rows that repeat a doc_id are one document.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    facts = stored(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, content binary, bands array<long>, sketch binary"), "sketches")
+    facts = stored(docs.mapInArrow(lean(_sketches(k), True), "doc_id long, n_shingles long, content binary, bands array<long>, sketch binary"), "sketches")
     classes = stored(facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
     least = rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("bucket", "a")
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     text = docs.join(member.hint("merge"), docs["doc_id"] == member["rep"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(F.col("block"), i).alias("i"), F.greatest(F.col("block"), i).alias("j")))
     dealt = text.select("family", F.explode(pairs).alias("p"), "block", "rep", "text").select("family", "p.i", "p.j", "block", "rep", "text")
-    stars = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_verify(k, percent), "a long, b long")
+    stars = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lean(_verify(k, percent), True), "a long, b long")
     found = components(stars, "links").toDF("rep", "component")
     of = classes.select("content", "rep").join(found, "rep", "left").select("content", F.coalesce("component", "rep").alias("component"))
     joined = facts.select("doc_id", "n_shingles", "content").join(of, "content", "left")

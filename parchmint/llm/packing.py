@@ -6,7 +6,6 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import REMEMBERED, REMEMBERED_BYTES, memory, stored, with_row
+from .common import REMEMBERED, REMEMBERED_BYTES, lean, memory, stored, with_row
 
 LIMIT = 4096
 #: A word of its own that texts hardly hold.
@@ -52,7 +51,7 @@ class _Ids:
             known.update(zip(part, self.encoded([w.decode("utf-8", "replace") for w in part])))
 
     def __call__(self, text: str | None) -> bytes:
-        known = memory(self.owner)
+        known = memory(self.owner, beside=self.owner.replace("ids ", "tokenizer ", 1))
         words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII spaces and nothing else
         new = set(words).difference(known)
         if new:
@@ -69,10 +68,12 @@ class _Ids:
         return out
 
 
-@lru_cache(maxsize=1)
 def _ids(path: str) -> _Ids:
-    """One tokenizer for each Python worker, for all its tasks."""
-    return _Ids(path)
+    """One tokenizer for each Python worker, for all its tasks until another operator takes its memory."""
+    kept = memory(f"tokenizer {path}", beside=f"ids {path}")
+    if "ids" not in kept:
+        kept["ids"] = _Ids(path)
+    return kept["ids"]
 
 
 def _pieces(path: str, limit: int, end_id: int):
@@ -98,7 +99,7 @@ def _pieces(path: str, limit: int, end_id: int):
 
 def cut(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32. Null and empty texts give one piece that holds the end id alone."""
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(_pieces(path or default_tokenizer(), limit, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(lean(_pieces(path or default_tokenizer(), limit, end_id), True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collected_garbage, mix, stored
+from .common import collected_garbage, lean, mix, stored
 
 #: Bytes of a string that counts as repeated; bytes under a hash; most starts in a context; bytes of a shard; contexts of one hash with more bytes are dealt to several shards.
 LENGTH, GRAM, STARTS, SHARD, LARGE = 100, 20, 256, 1 << 19, 1 << 21
@@ -463,13 +463,13 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, with_bytes: bo
     # tasks grow in number with the bytes, so that none holds more than a few buckets
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, (total["bytes"] or 0) >> PARTITION))
     named = docs.where("doc_id IS NOT NULL")
-    found = named.mapInArrow(_find(length, buckets, doc_buckets), _SCHEMA)
-    met = stored(found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(length, doc_buckets, shard, large), _SCHEMA), "contexts")
+    found = named.mapInArrow(lean(_find(length, buckets, doc_buckets)), _SCHEMA)
+    met = stored(found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_meet(length, doc_buckets, shard, large)), _SCHEMA), "contexts")
     collected_garbage(spark)
-    asked = _beside(met.where(F.col("kind") == ASKED), named, doc_buckets, parts).mapInArrow(_cut(length), _SCHEMA)
-    more = stored(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(length, doc_buckets), _SCHEMA), "spans")
+    asked = _beside(met.where(F.col("kind") == ASKED), named, doc_buckets, parts).mapInArrow(lean(_cut(length)), _SCHEMA)
+    more = stored(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_compare(length, doc_buckets)), _SCHEMA), "spans")
     collected_garbage(spark)
-    return _beside(met.where(F.col("kind") == SPANS).unionByName(more), docs, doc_buckets, parts).mapInArrow(_remove(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return _beside(met.where(F.col("kind") == SPANS).unionByName(more), docs, doc_buckets, parts).mapInArrow(lean(_remove(with_bytes)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
