@@ -132,46 +132,31 @@ def doc_stats_by_lang(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("text")).alias("source_bytes"), F.sum(F.length("text")).alias("characters"), F.sum(words).cast("long").alias("words"), F.sum(T.tokens_estimate(F.length("text"))).alias("estimated_tokens"))
 
 
-_CHROME = f"""SELECT source, {_key('text')} AS key, count(*) AS n FROM ({_LINES}) WHERE length({_key('text')}) >= 2 GROUP BY 1, 2 HAVING count(*) >= greatest(2, ceil(50 * 0.06))"""
-
-
 def _source_lines(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     parts = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
     return docs.select("doc_id", "source", F.posexplode(parts).alias("n", "text")).select("doc_id", "source", (F.col("n") + 1).cast("long").alias("line_no"), "text")
 
 
-@query(_CHROME)
-def doc_chrome_keys(spark, sf_dir):
-    return L.repeated_lines(_source_lines(spark, sf_dir), "source", F.lit(50), 0.06)
-
-
-@query(f"WITH k AS ({_CHROME}) SELECT doc_id, line_no, text FROM ({_LINES}) l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = l.source AND k.key = {_key('l.text')})")
-def doc_without_chrome(spark, sf_dir):
-    lines = _source_lines(spark, sf_dir)
-    keys = L.repeated_lines(lines, "source", F.lit(50), 0.06)
-    return lines.withColumn("key", T.chrome_key(F.col("text"))).join(keys, ["source", "key"], "left_anti").select("doc_id", "line_no", "text")
-
-
-_CHROME_BY_SHARE = f"""SELECT c.source, key, n FROM (SELECT source, {_key('text')} AS key, count(*) AS n FROM ({_LINES}) WHERE length({_key('text')}) >= 2 GROUP BY 1, 2) c
+_CHROME = f"""SELECT c.source, key, n FROM (SELECT source, {_key('text')} AS key, count(*) AS n FROM ({_LINES}) WHERE length({_key('text')}) >= 2 GROUP BY 1, 2) c
 JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY 1) p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= greatest(2, ceil(pages * CAST(0.06 AS DOUBLE)))"""
 
 
-def _keys_by_share(spark, sf_dir, lines):
+def _chrome_keys(spark, sf_dir, lines):
     pages = _t(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
     return L.repeated_lines(lines, "source", pages, 0.06)
 
 
-@query(_CHROME_BY_SHARE)
-def doc_chrome_keys_by_share(spark, sf_dir):
-    """As doc_chrome_keys, with the share taken of each source's own documents and not of 50."""
-    return _keys_by_share(spark, sf_dir, _source_lines(spark, sf_dir))
+@query(_CHROME)
+def doc_chrome_keys(spark, sf_dir):
+    """Lines, numbers aside, that occur in a source as often as 6 % of its documents."""
+    return _chrome_keys(spark, sf_dir, _source_lines(spark, sf_dir))
 
 
-@query(f"WITH k AS ({_CHROME_BY_SHARE}) SELECT doc_id, line_no, text FROM ({_LINES}) l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = l.source AND k.key = {_key('l.text')})")
-def doc_without_chrome_by_share(spark, sf_dir):
+@query(f"WITH k AS ({_CHROME}) SELECT doc_id, line_no, text FROM ({_LINES}) l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = l.source AND k.key = {_key('l.text')})")
+def doc_without_chrome(spark, sf_dir):
     lines = _source_lines(spark, sf_dir)
-    keys = _keys_by_share(spark, sf_dir, lines)
+    keys = _chrome_keys(spark, sf_dir, lines)
     return lines.withColumn("key", T.chrome_key(F.col("text"))).join(keys, ["source", "key"], "left_anti").select("doc_id", "line_no", "text")
 
 
@@ -321,7 +306,10 @@ def lexicon_suggestion(spark, sf_dir):
     return V.suggestions(c.where("n < 20").select(F.col("w").alias("token")), lexicon)
 
 
-@query()
+@query(f"""WITH c AS ({_COUNTS}), k AS (SELECT w AS word, row_number() OVER (ORDER BY n DESC, w) AS rank FROM c WHERE n >= 20),
+p AS (SELECT u.w AS unknown, word, rank, levenshtein(u.w, word) AS d FROM c u JOIN k ON u.n < 20 AND abs(length(u.w) - length(word)) <= 2),
+s AS (SELECT unknown, word FROM (SELECT *, row_number() OVER (PARTITION BY unknown ORDER BY d, length(word), rank) AS r FROM p WHERE d BETWEEN 1 AND 2) WHERE r = 1)
+SELECT doc_id, min(line_no) AS idx, 'not-a-word' AS type, t.token AS text, '"' || t.token || '" is not a recognised word — it may be "' || word || '"' AS message FROM ({_TOKENS}) t JOIN s ON lower(t.token) = s.unknown GROUP BY doc_id, t.token, word""")
 def lexicon_flags(spark, sf_dir):
     """A flag for each word of a document that is none and near one."""
     c = _word_counts(spark, sf_dir)

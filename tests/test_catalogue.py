@@ -155,9 +155,9 @@ def test_chrome_is_a_share_of_each_source(spark, tmp_path):
     rows = [(i, "\n".join([f"body {'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}", *["five times"] * (i < 5), *["six times"] * (i < 6)]), "large", "en") for i in range(100)]
     rows += [(100 + i, "twice", "small", "en") for i in range(2)] + [(102, "once", "small", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    keys = catalogue.queries()["doc_chrome_keys_by_share"](spark, str(tmp_path)).collect()
+    keys = catalogue.queries()["doc_chrome_keys"](spark, str(tmp_path)).collect()
     assert sorted((r.source, r.key, r.n) for r in keys) == [("large", "six times", 6), ("small", "twice", 2)]
-    left = [r.text for r in catalogue.queries()["doc_without_chrome_by_share"](spark, str(tmp_path)).collect()]
+    left = [r.text for r in catalogue.queries()["doc_without_chrome"](spark, str(tmp_path)).collect()]
     assert sorted(set(left)) == sorted({f"body {a}{b}" for a in "abcdefghij" for b in "abcdefghij"} | {"five times", "once"}) and left.count("five times") == 5
 
 
