@@ -128,6 +128,12 @@ def render_dpi(scan: Column, wanted: int | str, width: Column, height: Column, p
     return F.floor(scale * 72 + 0.5).cast("int")
 
 
+def image_counts(drawn: DataFrame) -> DataFrame:
+    """doc_id, page, images of what pages draw (doc_id, page, op: image, repeat, inline or other; name): distinct images, and each inline one."""
+    named = F.count_distinct(F.when(F.col("op").isin("image", "repeat"), F.col("name")))
+    return drawn.groupBy(*PAGE).agg((named + F.count_if(F.col("op") == "inline")).alias("images"))
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(r * 77 + g * 151 + b * 28, 8)
 

@@ -181,6 +181,20 @@ def file_web_archives(spark, sf_dir):
     return d.select(F.col("key").cast("long").alias("page_id"), F.col("meta")["source"].alias("source"), breaks.cast("int").alias("breaks"))
 
 
+@query("SELECT page_id, CAST(strlen(substr(html, 1, 3000)) AS BIGINT) AS bytes, length(html) > 3000 AS truncated, CASE WHEN page_id % 5 <> 0 THEN url END AS url FROM pages")
+def page_captures(spark, sf_dir):
+    """Pages as a browser hands them over, cut at 3,000 characters; every fifth has an address that isn't one of the web."""
+    p = table(spark, sf_dir, "pages").withColumn("url", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("file:///"), "url")).otherwise(F.col("url")))
+    c = FS.captured(p.withColumn("name", F.lit("page.html")), 3000)
+    return c.select("page_id", F.octet_length("content").cast("long").alias("bytes"), "truncated", "url")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pasted.html' ELSE 'pasted.txt' END AS name FROM documents WHERE doc_id % 3 = 0 OR length(regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')) > 40")
+def pasted_clips(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("<p>x</p>")).otherwise(" ").alias("html"), "text")
+    return FS.pasted(d).select("doc_id", "name")
+
+
 def _described(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     name = F.when(F.col("page_id") % 2 == 0, 'name="author"').otherwise('property="article:author"')

@@ -199,3 +199,23 @@ def table_merge(spark, sf_dir):
     marks = e.select(F.col("user_id").alias("doc_id"), (F.col("n") * 2 - 1).cast("int").alias("idx"), F.col("n").alias("page"), F.lit("page").alias("type"))
     m = flow.merged_tables(tables.unionByName(marks, allowMissingColumns=True)).where("type = 'table'")
     return m.select("doc_id", F.get("header", F.lit(0)).alias("header"), F.array_join(F.transform("rows", lambda r: F.get(r, F.lit(0))), " ").alias("rows"))
+
+
+@query("""SELECT user_id AS doc_id, CAST(event_id % 3 AS INTEGER) AS page, count(DISTINCT CAST(value AS INTEGER)) FILTER (event_type IN ('click', 'view')) + count(*) FILTER (event_type = 'error') AS images FROM events GROUP BY 1, 2""")
+def page_image_counts(spark, sf_dir):
+    """Images that pages draw: events as operations, equal values as one image."""
+    op = F.when(F.col("event_type") == "click", "image").when(F.col("event_type") == "view", "repeat").when(F.col("event_type") == "error", "inline").otherwise("text")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("page"), op.alias("op"), F.round("value").cast("int").cast("string").alias("name"))
+    return W.image_counts(e)
+
+
+@query("""SELECT r_regionkey AS doc_id, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n, k) AS INTEGER) AS entry, title, level, page FROM (
+ SELECT r_regionkey, -1 AS n, 0 AS k, r_name AS title, 1 AS level, r_regionkey + 1 AS page FROM region UNION ALL SELECT n_regionkey, n_nationkey, 0, n_name, 2, n_nationkey + 1 FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT n_regionkey, n_nationkey, 1, 'in ' || n_name, 3, 7 FROM nation)""")
+def outline_tree(spark, sf_dir):
+    """The outline of each region: its nations below it, some without a page, and an entry below each."""
+    inner = F.struct(F.concat(F.lit("in "), "n_name").alias("title"), F.lit(7).alias("page"))
+    nation = F.struct("n_nationkey", F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey") + 1).alias("page"), F.array(inner).alias("items"))
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(nation)).alias("items"))
+    r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    tree = F.to_json(F.array(F.struct(F.col("r_name").alias("title"), (F.col("r_regionkey") + 1).alias("page"), "items")))
+    return flow.outline_entries(r.select(F.col("r_regionkey").alias("doc_id"), tree.alias("outline")))

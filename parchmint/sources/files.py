@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect as D
+from ..functions import text as T
 from ..options import Options
 from . import blocks as B
 from . import readers
@@ -34,6 +35,27 @@ def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content", F.lit("").alias("mime"), F.lit(None).cast("string").alias("url"))
 
 
+#: Characters of a captured page that are kept, and of pasted text that make it worth a document.
+CAPTURED, PASTED = 8_000_000, 40
+
+
+def captured(pages: DataFrame, most: int = CAPTURED) -> DataFrame:
+    """Pages that a browser handed over (name, url, html) as files, with `truncated` where more than `most` characters came. Only http and https addresses are kept as such."""
+    url = F.when(F.col("url").rlike("(?i)^https?://[^/]"), F.col("url"))
+    keep = F.substring(F.coalesce("html", F.lit("")), 1, most)
+    others = [c for c in pages.columns if c not in ("name", "url", "html")]
+    return pages.select(*others, "name", keep.cast("binary").alias("content"), F.lit("text/html").alias("mime"), url.alias("url"), (F.length(F.coalesce("html", F.lit(""))) > most).alias("truncated"))
+
+
+def pasted(clips: DataFrame) -> DataFrame:
+    """Clips (html, text) as files: the markup if there is some, else a text of more than PASTED characters; others go."""
+    html = F.nullif(T.trimmed(F.col("html")), F.lit(""))
+    long = F.length(T.trimmed(F.col("text"))) > PASTED
+    others = [c for c in clips.columns if c not in ("html", "text")]
+    kept = clips.where(html.isNotNull() | F.coalesce(long, F.lit(False)))
+    return kept.select(*others, F.when(html.isNotNull(), "pasted.html").otherwise("pasted.txt").alias("name"), F.coalesce(F.when(html.isNotNull(), F.col("html")), F.col("text")).cast("binary").alias("content"), F.lit("").alias("mime"), F.lit(None).cast("string").alias("url"))
+
+
 def container_kind(content: bytes) -> str:
     """Kind of a zip file: what its mimetype declares, else what its members tell, else an archive."""
     try:
