@@ -16,6 +16,7 @@ from ..operators import validate as V
 from ..sources import files as FS
 from ..sources import text_like as S
 from ..sources import web
+from ..storage import stored
 from .registry import QUERIES, SQL, query, table
 
 _t = table
@@ -300,7 +301,7 @@ p AS (SELECT token, word, rank, levenshtein(token, word) AS d FROM u JOIN k ON a
 SELECT token, word AS suggestion FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, length(word), rank) AS r FROM p WHERE d BETWEEN 1 AND 2) WHERE r = 1""")
 def lexicon_suggestion(spark, sf_dir):
     """The nearest frequent word (20 occurrences) of every other word."""
-    c = _word_counts(spark, sf_dir)
+    c = stored(_word_counts(spark, sf_dir), "word-counts")
     # frequency order needs no number: (-n, word) sorts alike
     lexicon = c.where("n >= 20").select(F.col("w").alias("word"), (-F.col("n")).alias("rank"))
     return V.suggestions(c.where("n < 20").select(F.col("w").alias("token")), lexicon)
@@ -312,7 +313,7 @@ s AS (SELECT unknown, word FROM (SELECT *, row_number() OVER (PARTITION BY unkno
 SELECT doc_id, min(line_no) AS idx, 'not-a-word' AS type, t.token AS text, '"' || t.token || '" is not a recognised word — it may be "' || word || '"' AS message FROM ({_TOKENS}) t JOIN s ON lower(t.token) = s.unknown GROUP BY doc_id, t.token, word""")
 def lexicon_flags(spark, sf_dir):
     """A flag for each word of a document that is none and near one."""
-    c = _word_counts(spark, sf_dir)
+    c = stored(_word_counts(spark, sf_dir), "word-counts")
     lexicon = c.where("n >= 20").select(F.col("w").alias("word"), (-F.col("n")).alias("rank"))
     return V.lexicon_flags(_english_tokens(spark, sf_dir), lexicon)
 
