@@ -201,11 +201,11 @@ def table_merge(spark, sf_dir):
     return m.select("doc_id", F.get("header", F.lit(0)).alias("header"), F.array_join(F.transform("rows", lambda r: F.get(r, F.lit(0))), " ").alias("rows"))
 
 
-@query("""SELECT user_id AS doc_id, CAST(event_id % 3 AS INTEGER) AS page, count(DISTINCT CAST(value AS INTEGER)) FILTER (event_type IN ('click', 'view')) + count(*) FILTER (event_type = 'error') AS images FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id AS doc_id, CAST(event_id % 3 AS INTEGER) AS page, count(DISTINCT CAST(floor(value) AS INTEGER)) FILTER (event_type IN ('click', 'view')) + count(*) FILTER (event_type = 'error') AS images FROM events GROUP BY 1, 2""")
 def page_image_counts(spark, sf_dir):
     """Images that pages draw: events as operations, equal values as one image."""
     op = F.when(F.col("event_type") == "click", "image").when(F.col("event_type") == "view", "repeat").when(F.col("event_type") == "error", "inline").otherwise("text")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("page"), op.alias("op"), F.round("value").cast("int").cast("string").alias("name"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("page"), op.alias("op"), F.floor("value").cast("int").cast("string").alias("name"))
     return W.image_counts(e)
 
 
