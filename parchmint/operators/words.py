@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stored
 
 PAGE = ["doc_id", "page"]
 #: Words below this confidence are worth a second look; lines that were read again count from the second value on.
@@ -161,7 +162,8 @@ def uncovered(cells: DataFrame, words: DataFrame) -> DataFrame:
     at = lambda v: F.floor(v / CELL).cast("int")
     low = lambda v: F.greatest(at(F.col(v) - 4), F.lit(0))
     spread = words.select(*PAGE, F.explode(F.sequence(low("x"), at(F.col("x2") + 4))).alias("c"), low("top").alias("r0"), at(F.col("bottom") + 4).alias("r1")).select(*PAGE, "c", F.explode(F.sequence("r0", "r1")).alias("r")).distinct()
-    return cells.where(F.col("ink") / (CELL * CELL / 4) > INKY).join(spread, [*PAGE, "c", "r"], "left_anti")
+    # cells are many more than the words that Spark guesses their size by, so they are never sent through the driver
+    return cells.where(F.col("ink") / (CELL * CELL / 4) > INKY).join(spread.hint("merge"), [*PAGE, "c", "r"], "left_anti")
 
 
 _REGION = "page int, region int, x double, y double, x2 double, y2 double, cells int, ink double"
@@ -204,19 +206,19 @@ def regions(inky: DataFrame) -> DataFrame:
 def words_inside(found: DataFrame, words: DataFrame) -> DataFrame:
     """doc_id, page, region, inside: words whose centre lies in the region."""
     w = words.select(*PAGE, ((F.col("x") + F.col("x2")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"))
-    j = found.join(w, PAGE).where(F.col("cx").between(F.col("x"), F.col("x2")) & F.col("cy").between(F.col("y"), F.col("y2")))
+    j = found.join(w.hint("merge"), PAGE).where(F.col("cx").between(F.col("x"), F.col("x2")) & F.col("cy").between(F.col("y"), F.col("y2")))
     return j.groupBy(*PAGE, "region").agg(F.count(F.lit(1)).alias("inside"))
 
 
 def unread(cells: DataFrame, words: DataFrame) -> DataFrame:
     """Regions of ink that gave no words, the eight with most ink on each page: neither rules nor specks, as high as a line of the page's text, and not around words that were read."""
-    found = regions(uncovered(cells, words))
+    found = stored(regions(uncovered(cells, words)), "regions")
     height = words.where("bottom > top").groupBy(*PAGE).agg(F.percentile(F.col("bottom") - F.col("top"), 0.5).alias("line_height"))
     w, h = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     rule = ((h <= CELL * 1.5) & (w > CELL * 4)) | ((w <= CELL * 1.5) & (h > CELL * 4))
     solid = found.where((F.col("cells") >= 3) & ~rule & (F.col("ink") / (F.col("cells") * (CELL * CELL / 4)) >= 0.08))
-    j = solid.join(height, PAGE, "left").where(F.col("line_height").isNull() | (h >= F.col("line_height")))
-    j = j.join(words_inside(solid, words), [*PAGE, "region"], "left").where("coalesce(inside, 0) < 2")
+    j = solid.join(height.hint("merge"), PAGE, "left").where(F.col("line_height").isNull() | (h >= F.col("line_height")))
+    j = j.join(words_inside(solid, words).hint("merge"), [*PAGE, "region"], "left").where("coalesce(inside, 0) < 2")
     r = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.col("ink").desc(), "y", "x"))
     return j.withColumn("rank", r).where(F.col("rank") <= REGIONS).drop("line_height", "inside")
 
