@@ -52,6 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    trimmed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,11 +81,34 @@ def _sweep_at_exit() -> None:
 
 
 def collected_garbage(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished plans now rather than at the next collection."""
+    """Let Spark drop the shuffle files of finished plans now rather than at the next collection, and give memory that is free again back to the system."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> bool:
+    """Return free native memory of the driver's JVM to the system: its allocator keeps what the threads of many exchanges and the compiler needed. False where the JVM can't."""
+    give_back()
+    gateway = spark.sparkContext._gateway
+    lang, find = gateway.jvm.java.lang, gateway.jvm.java.lang.Class.forName
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    try:
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        invoke = find("javax.management.MBeanServer").getMethod("invoke", array(lang.Class, *map(find, kinds)))  # the server's own class is closed to reflection
+        name = gateway.jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, name, "systemTrimNativeHeap", None, None))
+    except Exception:  # Linux with glibc and a recent JDK only
+        return False
+    return True
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
